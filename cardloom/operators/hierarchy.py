@@ -43,12 +43,12 @@ def hierarchy(topics: DataFrame, local_run: int = LOCAL_RUN) -> DataFrame:
     bounded size; each is walked level by level on sorted arrays. Runs beyond that bound go through
     distributed frontier joins, one level a job.
     """
-    nodes = tree_nodes(topics)
+    nodes, width = tree_nodes(topics), shuffle_width(topics.sparkSession)
     sizes = nodes.groupBy("run_id").agg(F.count("*").alias("n"))
     big = sizes.where(F.col("n") > local_run).select("run_id")
     if big.isEmpty():
-        return nodes.groupBy("run_id").applyInPandas(_walk_run, _SCHEMA)
-    small = nodes.join(big, "run_id", "left_anti").groupBy("run_id").applyInPandas(_walk_run, _SCHEMA)
+        return nodes.repartition(width, "run_id").groupBy("run_id").applyInPandas(_walk_run, _SCHEMA)
+    small = nodes.join(big, "run_id", "left_anti").repartition(width, "run_id").groupBy("run_id").applyInPandas(_walk_run, _SCHEMA)
     return small.unionByName(_walk_joins(nodes.join(big, "run_id", "left_semi")))
 
 

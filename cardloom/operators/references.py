@@ -97,7 +97,8 @@ def orphan_references(tables: Mapping[str, tuple[DataFrame, str | None]], notes:
 
 def month_of_id(note_id: Column) -> Column:
     """yyyy-MM of an epoch-millisecond id, in UTC whatever the session's zone."""
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(note_id / 86_400_000).cast("int")), "yyyy-MM")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(note_id / 86_400_000).cast("int"))
+    return F.format_string("%04d-%02d", F.year(day), F.month(day))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
