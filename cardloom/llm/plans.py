@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cardloom.llm import lookalikes as L
+from cardloom.llm import nearcopies as C
 from cardloom.llm import neighbours as N
 from cardloom.llm.vectors import MODEL_DIMS
 from cardloom.shared import table
@@ -18,6 +20,27 @@ def p4_nearest(spark, d):
     return N.nearest(table(spark, d, "embeddings2"), 10, query=F.col("note_id") % 20 == 0, dims=MODEL_DIMS)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nearest)}
+def p5_found(spark, d):
+    pairs = C.near_copies(table(spark, d, "note_fields"), "note_id", "value_html", 70, 18)
+    return pairs.select(F.col("a").alias("note_id_a"), F.col("b").alias("note_id_b"))
+
+
+def p5_classes(spark, d):
+    return C.copy_classes(table(spark, d, "note_fields"), "note_id", "value_html", 70, 18).withColumnRenamed("id", "note_id")
+
+
+def p8_found(spark, d):
+    return L.same_reading(table(spark, d, "documents"))
+
+
+def p8_classes(spark, d):
+    return L.reading_classes(table(spark, d, "documents"))
+
+
+def p8_scripts(spark, d):
+    return L.script_report(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p5_found, p5_classes, p8_found, p8_classes, p8_scripts)}
 
 SQL: dict[str, str] = {}
