@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardloom.llm import lookalikes as L
+from cardloom.llm import mixing as M
 from cardloom.llm import nearcopies as C
 from cardloom.llm import neighbours as N
+from cardloom.llm import packing as K
 from cardloom.llm.vectors import MODEL_DIMS
 from cardloom.shared import table
 
@@ -29,6 +31,22 @@ def p5_classes(spark, d):
     return C.copy_classes(table(spark, d, "note_fields"), "note_id", "value_html", 70, 18).withColumnRenamed("id", "note_id")
 
 
+def p6_containers(spark, d):
+    return K.containers(K.placements(table(spark, d, "documents"), table(spark, d, "container_specs")))
+
+
+def p6_report(spark, d):
+    return K.packing_report(K.placements(table(spark, d, "documents"), table(spark, d, "container_specs")))
+
+
+def p7_mix(spark, d):
+    return M.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p7_shares(spark, d):
+    return M.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
 def p8_found(spark, d):
     return L.same_reading(table(spark, d, "documents"))
 
@@ -41,6 +59,6 @@ def p8_scripts(spark, d):
     return L.script_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p5_found, p5_classes, p8_found, p8_classes, p8_scripts)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p5_found, p5_classes, p6_containers, p6_report, p7_mix, p7_shares, p8_found, p8_classes, p8_scripts)}
 
 SQL: dict[str, str] = {}
