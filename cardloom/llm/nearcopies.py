@@ -29,6 +29,9 @@ _WORD = re.compile(r"[^\W_]+")
 #: Buckets of the word counts that order the words: some 2 MB on every executor, whatever the vocabulary.
 BUCKETS = 1 << 18
 
+#: A word of more sets than this is a key only together with another.
+FREQUENT = 100
+
 #: Notes of one class up to which every pair of them is a row; of larger classes each note is paired with the smallest.
 COPIES = 50
 
@@ -85,26 +88,61 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     return max(1, probe), max(1, index)
 
 
-def _group_rows(counts, percent: int):
-    """Each class with its words by rising count, cut to the prefix."""
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit key of two words in their order."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def prefix_keys(w: np.ndarray, rare: np.ndarray, probe: int, index: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's ordered words: those of the indexing prefix, and those only the probing prefix has.
+
+    Sets that are similar enough have a word in common in these prefixes, and two in prefixes longer by
+    one. So a rare word is a key by itself; a frequent one is a key with each later word of the longer
+    prefix. The first word in common gives both sets the same key.
+    """
+    i, j = np.triu_indices(min(probe + 1, len(w)), 1)
+    often = ~rare[i] & (i < probe)
+    i, j = i[often], j[often]
+    pairs = _pair_keys(w[i], w[j])
+    short = (i < index) & (j < index + 1)
+    single = w[:probe][rare[:probe]]
+    n = int(rare[:index].sum())
+    return np.concatenate([single[:n], pairs[short]]), np.concatenate([single[n:], pairs[~short]])
+
+
+def _bitmap(w: np.ndarray) -> tuple[int, int]:
+    """128 bits, one set for each word."""
+    bit = (w.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)
+    one = np.uint64(1)
+    lo = np.bitwise_or.reduce(one << bit[bit < 64], initial=np.uint64(0))
+    hi = np.bitwise_or.reduce(one << (bit[bit >= 64] - np.uint64(64)), initial=np.uint64(0))
+    return int(lo.astype(np.int64)), int(hi.astype(np.int64))
+
+
+def _group_rows(counts, percent: int, frequent: int):
+    """Each class with the keys of its prefix, its words by rising count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for b in batches:
-            gids, sizes, prefixes, indexed = [], [], [], []
+            out: list[tuple] = []
             column = b.column("words")
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            flat_at = ends - ends[0]
+            at = ends - ends[0]
             for i in range(len(column)):
-                w = flat[flat_at[i] : flat_at[i + 1]]
-                order = np.lexsort((w, table[w & (BUCKETS - 1)]))
+                w = flat[at[i] : at[i + 1]]
+                count = table[w & (BUCKETS - 1)]
+                order = np.lexsort((w, count))
                 probe, index = prefix_lengths(len(w), percent)
-                p = w[order[:probe]]
-                gids.append(hashlib.blake2b(p.tobytes() + len(w).to_bytes(8, "little"), digest_size=16).digest())
-                sizes.append(len(w))
-                prefixes.append(p)
-                indexed.append(index)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(gids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(indexed, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["key", "gid", "n", "indexed", "prefix"])
+                p = w[order[: probe + 1]]
+                gid = hashlib.blake2b(p.tobytes() + len(w).to_bytes(8, "little"), digest_size=16).digest()
+                out.append((gid, len(w), *_bitmap(w), *prefix_keys(p, count[order[: probe + 1]] <= frequent, probe, index)))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["key", "gid", "n", "lo", "hi", "indexed", "probed"])
 
     return run
 
@@ -118,25 +156,29 @@ def _enough(inter: Column, n1: Column, n2: Column, percent: int) -> Column:
     return inter * (100 + percent) >= (n1 + n2) * percent
 
 
-def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
+def similar_classes(sets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
     """(key_a, key_b, common, n_a, n_b): all pairs of different sets that share percent of the words in either.
 
     Exact: any total order of words gives a complete prefix filter, so the counts that order them may
-    share buckets. Words are compared by 64-bit hashes.
+    share buckets. Words are compared by 64-bit hashes. Group pairs are filtered in the join by size and
+    by bitmaps: a bit that all sets of one group have and none of the other stands for a word not shared.
     """
     spark = sets.sparkSession
     one = cut(classes(sets), "classes")
     hist = one.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count().toPandas()  # BUCKETS rows at most
     table = np.zeros(BUCKETS, np.int64)
     table[hist["bucket"].to_numpy()] = hist["count"].to_numpy()
-    members = cut(one.mapInArrow(_group_rows(spark.sparkContext.broadcast(table), percent), "key binary, gid binary, n int, indexed int, prefix array<long>"), "groups")
-    groups = members.groupBy("gid", "n", "indexed").agg(F.first("prefix").alias("prefix"))
-    probe = groups.select("gid", "n", "indexed", F.posexplode("prefix").alias("at", "word"))
-    index = probe.where("at < indexed").select("word", F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    probe = probe.select("word", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # words from the common one on
-    fits = (F.col("na") <= F.col("nb")) & (F.col("na") * 100 >= F.col("nb") * percent) & _enough(left, F.col("na"), F.col("nb"), percent) & ((F.col("na") < F.col("nb")) | (F.col("ga") < F.col("gb")))
-    pairs = index.join(probe, "word").where(fits).select("ga", "gb").distinct()
+    members = cut(one.mapInArrow(_group_rows(spark.sparkContext.broadcast(table), percent, frequent), "key binary, gid binary, n int, lo long, hi long, indexed array<long>, probed array<long>"), "groups")
+    bits = [F.bit_and("lo").alias("lo_all"), F.bit_and("hi").alias("hi_all"), F.bit_or("lo").alias("lo_any"), F.bit_or("hi").alias("hi_any")]
+    groups = cut(members.groupBy("gid").agg(F.first("n").alias("n"), F.first("indexed").alias("indexed"), F.first("probed").alias("probed"), *bits), "joined")
+    rest = ["gid", "n", "lo_all", "hi_all", "lo_any", "hi_any"]
+    a = groups.select(F.explode("indexed").alias("word"), *[F.col(c).alias(f"a_{c}") for c in rest])
+    b = groups.select(F.explode(F.concat("indexed", "probed")).alias("word"), *[F.col(c).alias(f"b_{c}") for c in rest])
+    na, nb = F.col("a_n"), F.col("b_n")
+    least = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)  # words that must be shared
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_{h}_all").bitwiseAND(F.bitwise_not(f"{y}_{h}_any"))) for h in ("lo", "hi")), F.lit(0))
+    fits = (na <= nb) & (na * 100 >= nb * percent) & ((na < nb) | (F.col("a_gid") < F.col("b_gid"))) & (alone("a", "b") <= na - least) & (alone("b", "a") <= nb - least)
+    pairs = a.join(b, "word").where(fits).select(F.col("a_gid").alias("ga"), F.col("b_gid").alias("gb")).distinct()
     # a group of several classes is also a candidate with itself
     alone = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     candidates = pairs.unionByName(alone)
@@ -150,7 +192,7 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     return done.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"), percent))
 
 
-def near_copies(records: DataFrame, key: str, text: str, percent: int, least: int, copies: int = COPIES) -> DataFrame:
+def near_copies(records: DataFrame, key: str, text: str, percent: int, least: int, copies: int = COPIES, frequent: int = FREQUENT) -> DataFrame:
     """(a, b), a < b: ids of which a text each has at least `least` distinct words and shares percent of the words in either.
 
     Words are runs of letters and digits, lower-cased, of the visible text. An id may have several texts,
@@ -165,7 +207,7 @@ def near_copies(records: DataFrame, key: str, text: str, percent: int, least: in
     sizes = ids.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head"))
     named = cut(ids.join(sizes, "key").select("key", "id", "head", "c"), "members")
     stand = named.where((F.col("c") <= copies) | (F.col("id") == F.col("head")))
-    links = similar_classes(sets, percent).select("key_a", "key_b")
+    links = similar_classes(sets, percent, frequent).select("key_a", "key_b")
     a = stand.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
     b = stand.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     across = links.join(a, "key_a").join(b, "key_b").select("x", "y")
