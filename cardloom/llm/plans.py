@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cardloom.llm import clusters as G
 from cardloom.llm import lookalikes as L
 from cardloom.llm import mixing as M
 from cardloom.llm import nearcopies as C
@@ -13,6 +14,14 @@ from cardloom.llm.vectors import MODEL_DIMS
 from cardloom.shared import table
 
 
+def p1_found(spark, d):
+    return G.clusters(table(spark, d, "embeddings2"), dims=MODEL_DIMS).select("model", "note_id", "cluster_id")
+
+
+def p1_topics(spark, d):
+    return G.cluster_report(table(spark, d, "embeddings2"), dims=MODEL_DIMS)
+
+
 def p4_found(spark, d):
     return N.near_pairs(table(spark, d, "embeddings2"), 5, 0.95, MODEL_DIMS)
 
@@ -59,6 +68,6 @@ def p8_scripts(spark, d):
     return L.script_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p5_found, p5_classes, p6_containers, p6_report, p7_mix, p7_shares, p8_found, p8_classes, p8_scripts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_topics, p4_found, p4_nearest, p5_found, p5_classes, p6_containers, p6_report, p7_mix, p7_shares, p8_found, p8_classes, p8_scripts)}
 
 SQL: dict[str, str] = {}
