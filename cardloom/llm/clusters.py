@@ -345,7 +345,7 @@ def _join_near(pieces: DataFrame, roots: DataFrame, spaces, apart: float, dim: i
     if half.isEmpty():
         return roots
     edges = half.unionByName(half.select("code", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    nodes = sums.select("code", F.col("root").alias("piece"), F.lit(0.0).alias("weight"))
+    nodes = sums.select("code", F.col("root").alias("piece"), F.lit(1.0).alias("weight"))
     again = merge_by_modularity(nodes, edges, 0.0).withColumnRenamed("root", "last").withColumnRenamed("piece", "root")
     return cut(roots.join(again, ["code", "root"]).select("code", "piece", F.col("last").alias("root")), "roots")
 
