@@ -24,13 +24,13 @@ from cardloom.llm.vectors import matrix, usable
 from cardloom.shared import cut
 
 #: Vectors per model that pivots are fitted on, rows a cell is planned for, pivots of a model at most.
-SAMPLE, CELL, PIVOTS = 20_000, 4_000, 256
+SAMPLE, CELL, PIVOTS = 8_000, 4_000, 256
 
 #: Rows of a cell (by the sample's estimate) from which it is cut into slices, tied by rows in common.
 SLICE, TIES = 40_000, 400
 
 #: Neighbours per vector, least cosine of an edge, resolution of the modularity.
-NEIGHBOURS, EDGE, RESOLUTION = 12, 0.55, 0.5
+NEIGHBOURS, EDGE, RESOLUTION = 10, 0.55, 0.5
 
 #: Cells besides its members' homes in which a community looks for members.
 REACH = 6

@@ -60,10 +60,10 @@ def _reverse(ids: np.ndarray, width: int, rng: np.random.Generator) -> np.ndarra
     return out
 
 
-def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12, tries: int = 32, enough: float = 0.005, leaf: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 6, tries: int = 24, enough: float = 0.01, leaf: int = 128, trees: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cosines), n x k: approximate nearest neighbours of each row; -1 where there are fewer.
 
-    Lists start from random kd-trees, two of them so that no leaf is closed; then every row tries neighbours of its neighbours, in both directions, until
+    Lists start from random kd-trees, several so that no leaf is closed; then every row tries neighbours of its neighbours, in both directions, until
     a round changes less than `enough` of all entries.
     """
     rng = np.random.default_rng([seed, len(x)])
@@ -71,7 +71,8 @@ def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12, tr
     n = len(x)
     if n <= leaf:
         return ids, cos
-    ids, cos = _merged(ids, cos, *_first_lists(x, k, rng, leaf))
+    for _ in range(trees - 1):
+        ids, cos = _merged(ids, cos, *_first_lists(x, k, rng, leaf))
     for _ in range(rounds):
         around = np.concatenate([ids, _reverse(ids, k // 2, rng)], axis=1)
         changed = 0
