@@ -184,14 +184,15 @@ def query_parts(query: str) -> list[str]:
 def first_int(c: Column) -> Column:
     """The integer at the end of a text, else the first one in it."""
     last, any_ = F.regexp_extract(c, r"(-?\d+)\s*$", 1), F.regexp_extract(c, r"(-?\d+)", 1)
-    return F.expr("bigint(null)") if c is None else F.coalesce(F.try_to_number(F.nullif(last, F.lit("")), F.lit("S9999999999999999")), F.try_to_number(F.nullif(any_, F.lit("")), F.lit("S9999999999999999"))).cast("long")
+    return F.coalesce(F.try_to_number(F.nullif(last, F.lit("")), F.lit("S9999999999999999")), F.try_to_number(F.nullif(any_, F.lit("")), F.lit("S9999999999999999"))).cast("long")
 
 
 def answer_digit(c: Column) -> Column:
     """The class 0..3 in a model's answer: marked, else the first lone digit; null if there is none."""
     marked = F.regexp_extract(c, r"BEGIN_DIGITS\s*<?\s*(\d+)\s*>?\s*END_DIGITS", 1)
     lone = F.regexp_extract(c, r"\b([0-3])\b", 1)
-    return F.least(F.coalesce(F.nullif(marked, F.lit("")).cast("int"), F.nullif(lone, F.lit("")).cast("int")), F.lit(3))
+    found = F.coalesce(F.nullif(marked, F.lit("")), F.nullif(lone, F.lit(""))).cast("int")
+    return F.when(found.isNotNull(), F.least(found, F.lit(3)))
 
 
 def answer_text(c: Column) -> Column:

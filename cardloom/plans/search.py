@@ -125,12 +125,12 @@ def rrf_weighted(spark, d):
     return R.rrf(_lists(spark, d), weight=weight).select("query_id", "note_id", _r("rrf").alias("rrf"))
 
 
-@query(f"""with g as (select distinct unnest({R.trigrams_of(['linear', 'capacitor'])}) as gram),
-t as (select doc_id as note_id, list_distinct(list_transform(range(1, len(text) - 1), lambda i: substr(lower(text), i, 3))) as grams from documents where text is not null)
-select note_id, cast(hits as int) as hits from (select note_id, len(list_intersect(grams, (select list(gram) from g))) as hits from t) where hits > 0 order by hits desc, note_id limit 300""")
+@query(f"""with {S.FIELDS}, {S.FRONT}, g as (select distinct unnest({R.trigrams_of(['linear', 'capacitor'])}) as gram),
+t as (select note_id, lower(substr(front, i, 3)) as gram from (select note_id, front, unnest(range(1, length(front) - 1)) as i from front where length(front) >= 3))
+select note_id, cast(count(distinct gram) as int) as hits from t where gram in (select gram from g) group by 1 order by hits desc, note_id limit 300""")
 def trigram_overlap(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("note_id"), "text")
-    return R.trigram_overlap(rows, "text", R.trigrams_of(["linear", "capacitor"]), 300)
+    rows = N.front(table(spark, d, "note_fields")).where("front is not null")
+    return R.trigram_overlap(rows, "front", R.trigrams_of(["linear", "capacitor"]), 300)
 
 
 # vectors -----------------------------------------------------------------------------------------
