@@ -30,10 +30,13 @@ SAMPLE, CELL, PIVOTS = 8_000, 4_000, 256
 SLICE, TIES = 40_000, 400
 
 #: Neighbours per vector, least cosine of an edge, resolution of the modularity.
-NEIGHBOURS, EDGE, RESOLUTION = 10, 0.55, 0.5
+NEIGHBOURS, EDGE, RESOLUTION = 10, 0.55, 1.0
+
+#: Least length of the mean of a piece's unit vectors, and least cosine of the means of pieces that may join.
+COHERENT, LINK = 0.75, 0.6
 
 #: Cells besides its members' homes in which a community looks for members.
-REACH = 6
+REACH = 12
 
 #: Superseded or repeated keys up to which they are broadcast; more are joined by a shuffle.
 FEW_KEYS = 500_000
@@ -160,7 +163,7 @@ def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b, w = G.graph(*G.neighbour_descent(x, min(NEIGHBOURS, n - 1)), EDGE)
     if not len(a):
         return
-    label = G.modularity_communities(n, a, b, w, RESOLUTION)
+    label = G.coherent_communities(x, a, b, w, RESOLUTION, COHERENT)
     m = int(label.max()) + 1
     big = np.iinfo(np.int64).max
     name = np.full(m, big)
@@ -312,6 +315,7 @@ def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: f
     node = pieces.where("kind = 0").groupBy("code", "note_id").agg(F.min("piece").alias("piece"))
     guest = pieces.where("kind = 1").select("code", "note_id", F.col("piece").alias("other"), "weight")
     half = guest.join(node, ["code", "note_id"]).where("piece <> other").groupBy("code", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b")).agg(F.sum("weight").alias("weight"))
+    half = _alike(half, pieces.where("kind = 2").select("code", "piece", "vec"), LINK)
     edges = half.unionByName(half.select("code", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     sizes = pieces.where("kind = 2").groupBy("code", "piece").agg(F.sum("weight").alias("weight"))
     roots = merge_by_modularity(sizes, edges, RESOLUTION)
@@ -334,14 +338,38 @@ def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: f
     return Found(members, pieces, roots, names)
 
 
+def _cosine(a: str, b: str):
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / F.sqrt(F.greatest(dot(a, a) * dot(b, b), F.lit(1e-300)))
+
+
+def _length(a: str):
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
+
+def _alike(edges: DataFrame, means: DataFrame, least: float) -> DataFrame:
+    """Edges (code, a, b, weight) between pieces whose mean directions have at least this cosine.
+
+    Modularity alone joins small communities of a large graph by any edge.
+    """
+    a = means.select("code", F.col("piece").alias("a"), F.col("vec").alias("va"))
+    b = means.select("code", F.col("piece").alias("b"), F.col("vec").alias("vb"))
+    return edges.join(a, ["code", "a"]).join(b, ["code", "b"]).where(_cosine("va", "vb") >= least).select("code", "a", "b", "weight")
+
+
 def _join_near(pieces: DataFrame, roots: DataFrame, spaces, apart: float, dim: int) -> DataFrame:
     """Roots whose mean directions have at least this cosine are one; they are compared where both reach."""
-    sums = cut(_sum_vectors(pieces.where("kind = 2").join(roots, ["code", "piece"]), ["code", "root"], dim), "sums")
-    spots = sums.where("n >= 3").mapInArrow(_reach(spaces), _REACHED).distinct()
+    mine = pieces.where("kind = 2").join(roots, ["code", "piece"])
+    sums = cut(_sum_vectors(mine, ["code", "root"], dim), "loose")
+    # a root whose vectors share no direction falls back to its pieces
+    loose = sums.where((F.col("n") > 2) & (_length("vec") < COHERENT * F.col("n"))).select("code", "root", F.lit(True).alias("loose"))
+    roots = cut(roots.join(loose, ["code", "root"], "left").select("code", "piece", F.when(F.col("loose"), F.col("piece")).otherwise(F.col("root")).alias("root")), "roots")
+    mine = pieces.where("kind = 2").join(roots, ["code", "piece"])
+    sums = cut(_sum_vectors(mine, ["code", "root"], dim), "sums")
+    spots = sums.where((F.col("n") >= 3) & (_length("vec") >= COHERENT * F.col("n"))).mapInArrow(_reach(spaces), _REACHED).distinct()
     a = spots.select("task", "code", F.col("root").alias("a"), F.col("vec").alias("va"))
     b = spots.select("task", "code", F.col("root").alias("b"), F.col("vec").alias("vb"))
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    half = cut(a.join(b, ["task", "code"]).where("a < b").where(cosine >= apart).select("code", "a", "b").distinct().withColumn("weight", F.lit(1.0)), "near")
+    half = cut(a.join(b, ["task", "code"]).where("a < b").where(_cosine("va", "vb") >= apart).select("code", "a", "b").distinct().withColumn("weight", F.lit(1.0)), "near")
     if half.isEmpty():
         return roots
     edges = half.unionByName(half.select("code", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
