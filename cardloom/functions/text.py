@@ -137,7 +137,7 @@ def phrase_tokens(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ascii_words(c: Column, least: int = 2, most: int = 64) -> Column:
@@ -203,8 +203,8 @@ def answer_text(c: Column) -> Column:
 
 def list_items(c: Column, most: int = 10) -> Column:
     """Items of a comma-, semicolon- or line-separated list, trimmed; of items equal but for case the first."""
-    raw = F.filter(F.transform(F.split(c, r"[,;\n]"), F.trim), lambda s: s != "")
-    low = F.transform(raw, F.lower)
+    raw = F.filter(F.transform(F.split(c, r"[,;\n]"), lambda s: F.trim(s)), lambda s: s != "")
+    low = F.transform(raw, lambda s: F.lower(s))
     first = F.filter(F.transform(raw, lambda s, i: F.struct(s.alias("s"), (F.array_position(low, F.lower(s)) == i + 1).alias("new"))), lambda x: x["new"])
     return F.slice(F.transform(first, lambda x: x["s"]), 1, most)
 

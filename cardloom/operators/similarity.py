@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import scores as S
@@ -47,6 +47,57 @@ def cosine_scan_arrow(vectors: DataFrame, query: list[float], model: str) -> Dat
     return vectors.where((F.col("model") == model) & (F.size("vec") == len(q))).select("note_id", "vec").mapInPandas(run, "note_id long, cos double")
 
 
+#: Query vectors that are sent to all tasks at once: 20000 of 64 numbers are some 10 MB.
+QUERY_BLOCK = 20_000
+
+
+def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, note_id, cos, place): the k nearest for each of many query vectors (query_id, qvec) of one length.
+
+    Blocks of at most QUERY_BLOCK queries go to all tasks; a task multiplies its vectors with the block and
+    passes on its own k best per query, so the shuffle holds k rows per query and task.
+    """
+    spark = vectors.sparkSession
+    size = int(queries.agg(F.max(F.size("qvec")).alias("n")).head()["n"] or 0)
+    ids = queries.where(F.size("qvec") == size).withColumn("_b", F.floor(F.row_number().over(Window.orderBy("query_id")) / QUERY_BLOCK).cast("int"))
+    last = ids.agg(F.max("_b").alias("b")).head()["b"]
+    out = spark.createDataFrame([], "query_id long, note_id long, cos double")
+    for block in range(0 if last is None else last + 1):
+        pdf = ids.where(F.col("_b") == block).select("query_id", "qvec").toPandas()
+        q = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
+        q = q / np.maximum(np.sqrt((q**2).sum(1)), 1e-300)[:, None]
+        shared = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), q))
+        part = vectors.where(F.size("vec") == size).select("note_id", "vec").mapInPandas(_best_of_block(shared, k), "query_id long, note_id long, cos double")
+        out = out.unionByName(part)
+    return top(out, k, F.desc("cos"))
+
+
+def _best_of_block(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        best = np.full((len(ids), 0), -2.0)
+        who = np.empty((len(ids), 0), np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
+            x = x / np.maximum(np.sqrt((x**2).sum(1)), 1e-300)[:, None]
+            for s in range(0, len(x), 4096):
+                cos = np.concatenate([best, q @ x[s : s + 4096].T], 1)
+                note = np.concatenate([who, np.broadcast_to(b["note_id"].to_numpy()[s : s + 4096], (len(ids), len(x[s : s + 4096])))], 1)
+                if cos.shape[1] > k + 64:
+                    some = np.argpartition(-cos, k + 63, axis=1)[:, : k + 64]
+                    cos, note = np.take_along_axis(cos, some, 1), np.take_along_axis(note, some, 1)
+                if cos.shape[1] > k:
+                    # ties by note_id: exact copies have equal cosines
+                    order = np.lexsort((note, -cos.round(12)), axis=1)[:, :k]
+                    cos, note = np.take_along_axis(cos, order, 1), np.take_along_axis(note, order, 1)
+                best, who = cos, note
+        yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "note_id": who.ravel(), "cos": best.ravel()})
+
+    return run
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, k: int = 100, most: int = 100) -> DataFrame:
     """(query_id, note_id, cos, place): the k nearest, k between 1 and `most`."""
     best = cosine_scan(vectors, queries).groupBy("query_id", "note_id").agg(F.max("cos").alias("cos"))

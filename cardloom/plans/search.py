@@ -232,9 +232,11 @@ def vector_norms(spark, d):
 
 @query()
 def keyword_clusters(spark, d):
-    """Each model's first 200 notes by id as one list of terms, clustered greedily."""
-    v = _vectors(spark, d).withColumn("place", F.row_number().over(R.Window.partitionBy("model").orderBy("note_id"))).where("place <= 200")
-    rows = v.select(F.xxhash64("model").alias("list_id"), "place", F.col("note_id").cast("string").alias("term"), "vec")
+    """The notes of each topic as a list of terms, clustered greedily by their vectors of one model."""
+    v = _vectors(spark, d).where("model = 'quill-embed-8b' and size(vec) = 64").select("note_id", "vec")
+    docs = table(spark, d, "topic_docs").select("run_id", "topic_id", "note_id").distinct().join(v, "note_id")
+    place = F.row_number().over(R.Window.partitionBy("run_id", "topic_id").orderBy("note_id"))
+    rows = docs.select(F.xxhash64("run_id", "topic_id").alias("list_id"), place.alias("place"), F.col("note_id").cast("string").alias("term"), "vec")
     return V.greedy_clusters(rows, 0.6)
 
 
@@ -289,15 +291,14 @@ def hybrid_from_note(spark, d):
 
 @query()
 def hybrid_batch(spark, d):
-    """Each of 20 card texts as a query: its ASCII words by BM25, its hashed vector against hashed fronts; the first 40 of each."""
+    """Every document whose id is divisible by 20 as a query against all notes: its ASCII words by BM25, its hashed vector against hashed fronts; the first 40 of each."""
     f, index = table(spark, d, "note_fields"), _index(spark, d)
-    pages = table(spark, d, "documents").where("text is not null").orderBy("doc_id").limit(20)
-    texts = pages.select(F.col("doc_id").cast("int").alias("query_id"), "text")
+    texts = table(spark, d, "documents").where("text is not null and doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     terms = texts.select("query_id", F.posexplode(T.ascii_words(F.col("text"))).alias("term_idx", "term")).withColumn("words", T.index_tokens(F.col("term")))
     emb, words = H.candidate_caps(40)
-    vectors = M.embedded(N.front(f).select("note_id", T.plain(F.col("front")).alias("text")).where("text <> ''"), "text", M.HashingEmbedder, "document").select("note_id", F.lit("hash").alias("model"), "vec")
-    asks = M.embedded(texts, "text", M.HashingEmbedder, "query").select("query_id", F.lit("hash").alias("model"), F.col("vec").alias("qvec"))
-    near = R.top(V.cosine_scan(vectors, asks), emb, F.desc("cos"))
+    vectors = M.embedded(N.front(f).select("note_id", T.plain(F.col("front")).alias("text")).where("text <> ''"), "text", M.HashingEmbedder, "document").select("note_id", "vec")
+    asks = M.embedded(texts, "text", M.HashingEmbedder, "query").select("query_id", F.col("vec").alias("qvec"))
+    near = V.semantic_batch(vectors, asks, emb)
     rows = H.merge_candidates(near, R.bm25_top(index, terms, words))
     return H.hybrid(H.matched_terms(rows, N.front(f), N.back(f), terms), 40).select("query_id", "note_id", "cos", "bm25", "matched", "score", "place")
 

@@ -169,24 +169,24 @@ def first_group_wins(spark, d):
 
 def _answers(spark, d):
     """A model's answers about the inbox, made from the ids: marked, plain and unreadable ones."""
-    i = F.col("note_id")
+    i = F.abs("note_id")
     text = F.when(i % 4 == 0, F.concat(F.lit("BEGIN_DIGITS <"), (i % 5).cast("string"), F.lit("> END_DIGITS"))).when(i % 4 == 1, F.concat(F.lit("class "), (i % 7).cast("string"))).when(i % 4 == 2, "none")
     json = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("output_text")))
     return table(spark, d, "note_tags").where("tag = 'inbox::unsorted' and note_id is not null").select("note_id").distinct().select("note_id", json.alias("answer"))
 
 
 _BADGES = """a as (select distinct note_id from note_tags where tag = 'inbox::unsorted' and note_id is not null),
-b as (select note_id, cast(case when note_id % 4 = 0 then least(note_id % 5, 3) when note_id % 4 = 1 and note_id % 7 <= 3 then note_id % 7 end as int) as badge from a where note_id > 0)"""
+b as (select note_id, cast(case when i % 4 = 0 then least(i % 5, 3) when i % 4 = 1 and i % 7 <= 3 then i % 7 end as int) as badge from (select note_id, abs(note_id) as i from a))"""
 
 
 @query(f"with {_BADGES} select count(*) filter (badge = 0) as n0, count(*) filter (badge = 1) as n1, count(*) filter (badge = 2) as n2, count(*) filter (badge = 3) as n3 from b")
 def badge_histogram(spark, d):
-    return G.badge_histogram(G.badges(_answers(spark, d).where("note_id > 0")))
+    return G.badge_histogram(G.badges(_answers(spark, d)))
 
 
 @query(f"with {_BADGES} select note_id, badge, cast(row_number() over (order by coalesce(badge, 99), -note_id, note_id) as int) as place from b")
 def badge_order(spark, d):
-    rows = G.badges(_answers(spark, d).where("note_id > 0")).withColumn("pos", -F.col("note_id"))
+    rows = G.badges(_answers(spark, d)).withColumn("pos", -F.col("note_id"))
     return G.badge_order(rows).select("note_id", "badge", "place")
 
 
