@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.prefix import prefix_sums
 from cardloom.llm.tokens import VOCABULARY, with_tokens
+from cardloom.shared import cut
 
 #: The capacities of all specs together may be at most so large: the plan is a table of that order.
 MOST_CAPACITY = 4_000_000
@@ -157,7 +158,7 @@ def placements(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABUL
     schema = "spec_id int, capacity_tokens long, doc_id long, piece int, tokens long, container_id long"
     if not caps:
         return spark.createDataFrame([], schema)
-    texts = with_tokens(documents, vocabulary=vocabulary).where("tokens > 0")
+    texts = cut(with_tokens(documents, vocabulary=vocabulary).where("tokens > 0"), "sizes")  # else the range sort would count tokens twice
     spec_list = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("capacity_tokens")) for s, c in sorted(caps.items())])
     each = texts.select("doc_id", F.col("tokens").alias("total"), F.explode(spec_list).alias("s")).select("doc_id", "total", "s.*")
     last = F.floor((F.col("total") - 1) / F.col("capacity_tokens")).cast("int")
