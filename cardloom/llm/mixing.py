@@ -31,7 +31,7 @@ def ordered(documents: DataFrame, targets: DataFrame, seed: int = 11, vocabulary
     """(source, doc_id, tokens, before): the documents of the targeted sources, in random order, with the tokens before each."""
     names = _targets(targets).select("source").distinct()
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").join(names, "source", "left_semi")
-    sized = with_tokens(rows, "source string", vocabulary).where("tokens > 0").withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
+    sized = cut(with_tokens(rows, "source string", vocabulary).where("tokens > 0"), "sizes").withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
     return prefix_sums(sized, ["source"], ["key", "doc_id"], "tokens").drop("key")
 
 
