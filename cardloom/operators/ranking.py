@@ -18,28 +18,40 @@ def index_stats(index: DataFrame) -> DataFrame:
 def query_terms(spark: SparkSession, queries: dict[int, list[str]]) -> DataFrame:
     """(query_id, term_idx, term, words): terms as typed, and their index words. Terms without words match nothing."""
     rows = [(q, i, t) for q, terms in queries.items() for i, t in enumerate(terms)]
-    df = spark.createDataFrame(rows, "query_id int, term_idx int, term string")
+    if 0 < len(rows) <= 500:  # as a constant, whose size the planner knows
+        items = [F.struct(F.lit(q).alias("query_id"), F.lit(i).alias("term_idx"), F.lit(t).alias("term")) for q, i, t in rows]
+        df = spark.range(1).select(F.inline(F.array(*items)))
+    else:
+        df = spark.createDataFrame(rows, "query_id int, term_idx int, term string")
     return df.withColumn("words", T.index_tokens(F.col("term")))
 
 
+def term_hits(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, note_id, length, tf) for keys (key, words): words that no key has leave before anything is shuffled."""
+    length = F.size("tokens").alias("length")
+    singles = keys.where(F.size("words") == 1).select("key")
+    one = index.select("note_id", length, F.explode("tokens").alias("key")).join(singles, "key").groupBy("key", "note_id", "length").agg(F.count("*").cast("int").alias("tf"))
+    many = keys.where(F.size("words") > 1).withColumn("first", F.element_at("words", 1))
+    met = index.select("note_id", length, "tokens", F.explode(F.array_distinct("tokens")).alias("first")).join(many, "first")
+    n = F.size("words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1)))
+    phrases = met.select("key", "note_id", "length", F.size(F.filter(starts, lambda i: F.slice("tokens", i, n) == F.col("words"))).alias("tf")).where("tf > 0")
+    return one.select("key", "note_id", "length", "tf").unionByName(phrases)
+
+
 def term_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, term_idx, term, note_id, part, df): each term's BM25 share in each note that has it.
+    """(query_id, term_idx, term, note_id, part, df, n): each term's BM25 share in each note that has it.
 
-    All terms of all queries are matched in one pass over the postings: by their first word, then by
-    position for phrases. terms is a frame of typed queries and small by nature; its size is left to the
-    planner. df counts the notes of the whole index.
+    Each different term is looked up once for all queries, then joined to the queries that have it. terms
+    is a frame of typed queries and small by nature; its size is left to the planner. df counts the notes
+    of the whole index, n all of them.
     """
-    stats = index_stats(index)
-    post = index.select("note_id", F.size("tokens").alias("length"), "tokens", F.explode(F.array_distinct("tokens")).alias("first"))
-    want = terms.where(F.size("words") > 0).withColumn("first", F.element_at("words", 1))
-    met = post.join(want, "first")
-    n = F.size("words")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1)))
-    tf = F.when(n == 1, F.size(F.filter("tokens", lambda t: t == F.col("first")))).otherwise(F.size(F.filter(starts, lambda i: F.slice("tokens", i, n) == F.col("words"))))
-    hits = met.select("query_id", "term_idx", "term", "note_id", "length", tf.alias("tf")).where("tf > 0")
-    df = hits.groupBy("query_id", "term_idx").agg(F.count("*").alias("df"))
-    rows = hits.join(df, ["query_id", "term_idx"]).join(F.broadcast(stats))  # one row
-    return rows.select("query_id", "term_idx", "term", "note_id", S.bm25_part(S.bm25_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("mean")).alias("part"), "df", "n")
+    want = terms.where(F.size("words") > 0).withColumn("key", F.concat_ws(" ", "words"))
+    hits = term_hits(index, want.select("key", "words").distinct())
+    df = hits.groupBy("key").agg(F.count("*").alias("df"))
+    rows = hits.join(df, "key").join(F.broadcast(index_stats(index)))  # one row
+    scored = rows.select("key", "note_id", S.bm25_part(S.bm25_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("mean")).alias("part"), "df", "n")
+    return scored.join(want.select("query_id", "term_idx", "term", "key"), "key").select("query_id", "term_idx", "term", "note_id", "part", "df", "n")
 
 
 def bm25(index: DataFrame, terms: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from cardloom.operators import notes as N
 from cardloom.operators import ranking as R
 from cardloom.operators import similarity as V
 from cardloom.plans import sql as S
-from cardloom.shared import table
+from cardloom.shared import cut, table
 from cardloom.sources import models as M
 
 QUERIES, SQL = {}, {}
@@ -29,7 +29,8 @@ def query(sql: str | None = None):
 
 
 def _index(spark, d):
-    return I.documents_index(table(spark, d, "note_fields"))
+    """Built once and written, as statistics and every term read it."""
+    return cut(I.documents_index(table(spark, d, "note_fields")), "index")
 
 
 def _r(c, n=6):
