@@ -26,6 +26,11 @@ def query_terms(spark: SparkSession, queries: dict[int, list[str]]) -> DataFrame
     return df.withColumn("words", T.index_tokens(F.col("term")))
 
 
+def without_terms(terms: DataFrame, exclude: list[str]) -> DataFrame:
+    """Query terms without the excluded ones, whatever their case."""
+    return terms.where(~F.lower("term").isin([e.lower() for e in exclude])) if exclude else terms
+
+
 def term_hits(index: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, note_id, length, tf) for keys (key, words): words that no key has leave before anything is shuffled."""
     length = F.size("tokens").alias("length")
@@ -129,4 +134,4 @@ def trigrams_of(terms: list[str]) -> list[str]:
     return list(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))
 
 
-__all__ = ["bm25", "bm25_top", "fuzzy", "index_stats", "occurrences", "query_terms", "related_terms", "rrf", "rrf_two", "term_scores", "top", "trigram_overlap", "trigrams_of", "where_found"]
+__all__ = ["bm25", "bm25_top", "fuzzy", "index_stats", "occurrences", "query_terms", "related_terms", "rrf", "rrf_two", "term_scores", "top", "trigram_overlap", "trigrams_of", "where_found", "without_terms"]

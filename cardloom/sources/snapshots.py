@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cardloom import schemas
+from cardloom.shared import cut
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +37,21 @@ def write_topic_map(run: DataFrame, topics: DataFrame, terms: DataFrame, docs: D
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/{name}")
 
 
-def write_related(rows: DataFrame, folder: str) -> None:
-    """Related rows, replacing those of the same type and source bucket; a bucket holds many sources."""
-    stored = rows.withColumn("bucket", F.pmod(F.xxhash64("source_note_id"), F.lit(64)).cast("int"))
-    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "bucket").parquet(folder)
+def write_related(rows: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Related rows, replacing those of the same type and source; others stay.
+
+    Files are partitioned by type and a bucket of sources, and only the buckets that rows fall into are
+    written again, with what they held of other sources.
+    """
+    spark = rows.sparkSession
+    new = cut(rows.withColumn("bucket", F.pmod(F.xxhash64("source_note_id"), F.lit(buckets)).cast("int")), "related")
+    try:
+        old = spark.read.parquet(folder)
+    except AnalysisException:  # the first write
+        old = new.limit(0)
+    kept = old.join(new.select("type", "bucket").distinct(), ["type", "bucket"], "left_semi").join(new.select("type", "source_note_id").distinct(), ["type", "source_note_id"], "left_anti")
+    both = cut(new.unionByName(kept.select(*new.columns)), "related")
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "bucket").parquet(folder)
 
 
 class NoteService(DataSource):
