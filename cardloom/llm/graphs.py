@@ -105,11 +105,12 @@ def graph(ids: np.ndarray, cos: np.ndarray, least: float) -> tuple[np.ndarray, n
     return lo[first], hi[first], w[first]
 
 
-def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int = 3, rounds: int = 16) -> np.ndarray:
+def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int = 3, rounds: int = 16, settled: float = 0.15) -> np.ndarray:
     """Label per node: local moves by modularity gain, then the same over the communities, until nothing moves.
 
     In a round a random half of the nodes moves at once, each to the neighbouring community of the
-    greatest gain; of equal gains the smallest label.
+    greatest gain; of equal gains the smallest label. A level ends when fewer than `settled` of its nodes
+    would move.
     """
     rng = np.random.default_rng([seed, n])
     label = np.arange(n)
@@ -141,10 +142,12 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
             go = (gain[best] > stay[v] + 1e-12) & (t != com[v])
             if not go.any():
                 break
-            half = rng.random(len(v)) < 0.5
-            if (go & half).any():
-                com[v[go & half]] = t[go & half]
+            moves = go & (rng.random(len(v)) < 0.5)
+            if moves.any():
+                com[v[moves]] = t[moves]
                 moved_ever = True
+            if go.sum() < size * settled:
+                break
         if not moved_ever:
             break
         names, com = np.unique(com, return_inverse=True)
