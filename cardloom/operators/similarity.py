@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import scores as S
@@ -54,16 +54,19 @@ QUERY_BLOCK = 20_000
 def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, note_id, cos, place): the k nearest for each of many query vectors (query_id, qvec) of one length.
 
-    Blocks of at most QUERY_BLOCK queries go to all tasks; a task multiplies its vectors with the block and
+    Blocks of some QUERY_BLOCK queries go to all tasks; a task multiplies its vectors with the block and
     passes on its own k best per query, so the shuffle holds k rows per query and task.
     """
     spark = vectors.sparkSession
     size = int(queries.agg(F.max(F.size("qvec")).alias("n")).head()["n"] or 0)
-    ids = queries.where(F.size("qvec") == size).withColumn("_b", F.floor(F.row_number().over(Window.orderBy("query_id")) / QUERY_BLOCK).cast("int"))
-    last = ids.agg(F.max("_b").alias("b")).head()["b"]
+    fit = queries.where(F.size("qvec") == size)
+    n = fit.count()
+    blocks = -(-n // QUERY_BLOCK) + (n > QUERY_BLOCK)  # hashed blocks are not quite even
     out = spark.createDataFrame([], "query_id long, note_id long, cos double")
-    for block in range(0 if last is None else last + 1):
-        pdf = ids.where(F.col("_b") == block).select("query_id", "qvec").toPandas()
+    for block in range(blocks):
+        pdf = fit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "qvec").toPandas()
+        if pdf.empty:
+            continue
         q = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
         q = q / np.maximum(np.sqrt((q**2).sum(1)), 1e-300)[:, None]
         shared = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), q))
@@ -141,10 +144,10 @@ def mean_vector(rows: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("centroid"))
 
 
-def term_cosines(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, term, cos): cosine of cached term vectors (term, vec) to queries; -1 without a vector of that length."""
-    met = terms.join(F.broadcast(queries.limit(1000)))  # typed queries
-    return met.select("query_id", "term", F.coalesce(S.cosine(F.col("vec"), F.col("qvec")), F.lit(-1.0)).alias("cos"))
+def term_cosines(terms: DataFrame, qvec: DataFrame) -> DataFrame:
+    """(term, cos): cosine of cached term vectors (term, vec) to a query vector; -1 without one of its length. qvec is a frame of one row."""
+    met = terms.join(F.broadcast(qvec.select("qvec")))
+    return met.select("term", F.coalesce(S.cosine(F.col("vec"), F.col("qvec")), F.lit(-1.0)).alias("cos"))
 
 
 def cosines_against(vectors: DataFrame, ids: DataFrame, qvec: DataFrame) -> DataFrame:

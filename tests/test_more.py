@@ -148,6 +148,12 @@ def test_pair_cosines(spark):
     assert [(r["a"], r["b"]) for r in got] == [("x", "y")] and math.isclose(got[0]["cos"], 1 / math.sqrt(1.01), rel_tol=1e-6)
 
 
+def test_term_cosines(spark):
+    terms = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0]), ("c", None)], "term string, vec array<float>")
+    q = spark.createDataFrame([([2.0, 0.0],)], "qvec array<float>")
+    assert {r["term"]: r["cos"] for r in V.term_cosines(terms, q).collect()} == {"a": 1.0, "b": -1.0, "c": -1.0}
+
+
 def test_schemas_and_cut(spark):
     assert schemas.NOTES["profile"].nullable and not schemas.NOTES["note_id"].nullable
     df = spark.range(10)
