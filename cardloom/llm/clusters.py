@@ -6,7 +6,7 @@
    detection cuts it into pieces.
 3. Pieces of different cells are linked by their guests; the graph of pieces is merged by modularity
    gains in distributed rounds, and so are communities whose mean directions are too near.
-4. Every vector is checked against the mean directions of the communities in reach of its cell.
+4. Every vector is checked against the mean directions of all communities of its model.
 """
 
 from __future__ import annotations
@@ -35,8 +35,11 @@ NEIGHBOURS, EDGE, RESOLUTION = 10, 0.55, 1.0
 #: Least length of the mean of a piece's unit vectors, and least cosine of the means of pieces that may join.
 COHERENT, LINK = 0.75, 0.6
 
-#: Cells besides its members' homes in which a community looks for members.
-REACH = 12
+#: Mean directions that are sent to all tasks at once: 200,000 of 64 numbers are some 50 MB.
+MEANS = 200_000
+
+#: Linked rows from which a community may join several others that are near; a smaller one joins the nearest only.
+FIRM = 3
 
 #: Superseded or repeated keys up to which they are broadcast; more are joined by a shuffle.
 FEW_KEYS = 500_000
@@ -235,54 +238,71 @@ def _sum_vectors(rows: DataFrame, keys: list[str], dim: int) -> DataFrame:
     return out.select(*keys, "n", F.filter(F.array(*[F.col(f"s{i}") for i in range(dim)]), lambda v: v.isNotNull()).alias("vec"))
 
 
-_REACHED = "task int, code int, root long, vec array<float>"
+_NEAR = "code int, id long, root long, cosine double"
 
 
-def _reach(spaces):
-    """Mean directions to the tasks of the cells nearest to them, every slice of each."""
+def _compare(shared, least: float):
+    """Rows (code, id, vec) against all means of their code: every pair of at least this cosine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_code = {s.code: s for s in spaces.value}
-        for b in batches:
-            out: list[tuple] = []
-            for code, root, vec in zip(b.column("code").to_pylist(), b.column("root").to_pylist(), b.column("vec").to_pylist()):
-                space = by_code[code]
-                v = np.array(vec, np.float64)
-                v = (v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32)
-                for cell in np.argsort(-(space.pivots @ v), kind="stable")[:REACH]:
-                    out += [(int(space.base[cell] + s), code, root, v) for s in range(int(space.slices[cell]))]
-            cols = list(zip(*out)) or [()] * 4
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["task", "code", "root", "vec"])
+        means = shared.value
+        for batch in batches:
+            codes, ids = batch.column("code").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
+            for code in np.unique(codes):
+                if code not in means:
+                    continue
+                roots, c = means[code]
+                mine = np.flatnonzero(codes == code)
+                x = matrix(batch.column("vec").take(pa.array(mine)))
+                for s in range(0, len(x), 1024):
+                    for t in range(0, len(c), 8192):
+                        # single precision is off by less than 1e-4
+                        i, j = np.nonzero(x[s : s + 1024] @ c[t : t + 8192].T >= least - 1e-4)
+                        i, j = i + s, j + t
+                        cos = np.empty(len(i))
+                        for k in range(0, len(i), 65536):
+                            cos[k : k + 65536] = np.einsum("ij,ij->i", x[i[k : k + 65536]].astype(np.float64), c[j[k : k + 65536]].astype(np.float64))
+                        ok = cos >= least
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), code, np.int32)), pa.array(ids[mine[i[ok]]]), pa.array(roots[j[ok]]), pa.array(cos[ok])], names=["code", "id", "root", "cosine"])
 
     return run
 
 
-def _check(least: float):
-    """Rows of one task against the mean directions sent there: (code, root, note_id, cosine) of the best one from `least` on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        is_mean = t["root"].is_valid().to_numpy(zero_copy_only=False)
-        if not is_mean.any() or is_mean.all():
-            return
-        means = t.filter(pa.array(is_mean))
-        roots, first = np.unique(means["root"].to_numpy(), return_index=True)
-        c = matrix(means["vec"].take(pa.array(first))).astype(np.float64)
-        rows = t.filter(pa.array(~is_mean))
-        x, ids = matrix(rows["vec"]), rows["note_id"].to_numpy()
-        code = t["code"][0].as_py()
-        for s in range(0, len(x), 8192):
-            cos = x[s : s + 8192].astype(np.float64) @ c.T
-            best = np.argmax(cos, 1)
-            top = cos[np.arange(len(best)), best]
-            ok = top >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), code, np.int32)), pa.array(roots[best[ok]]), pa.array(ids[s : s + 8192][ok]), pa.array(top[ok])], names=["code", "root", "note_id", "cosine"])
+def _near(rows: DataFrame, means: DataFrame, least: float) -> DataFrame:
+    """(code, id, root, cosine): every pair of a row (code, id, vec) and a mean (code, root, vec) of at least this cosine.
 
-    return run
+    Exact: all means of a code are compared, MEANS of them at a time.
+    """
+    spark = rows.sparkSession
+    blocks = max(1, -(-means.count() // MEANS))
+    out = spark.createDataFrame([], _NEAR)
+    for block in range(blocks):
+        t = means.where(F.pmod(F.xxhash64("root"), F.lit(blocks)) == block).select("code", "root", F.col("vec").cast("array<float>").alias("vec")).toArrow()  # some MEANS rows
+        codes = t["code"].to_numpy()
+        parts = {int(code): t.take(pa.array(np.flatnonzero(codes == code))) for code in np.unique(codes)}
+        shared = spark.sparkContext.broadcast({code: (part["root"].to_numpy(), matrix(part["vec"])) for code, part in parts.items()})
+        out = out.unionByName(rows.select("code", "id", "vec").mapInArrow(_compare(shared, least), _NEAR))
+    return out
+
+
+def _settled(hits: DataFrame, least_size: int) -> DataFrame:
+    """(code, note_id, root, cosine): each note's best root, of those that have least_size notes at the end.
+
+    A root of too few notes is dropped and its notes go to their next best. Where such roots have notes
+    in common the smaller go first, so that one cluster in several parts is not lost with all of them.
+    """
+    # no root can have more notes than it has hits
+    whole = hits.groupBy("code", "root").agg(F.countDistinct("note_id").alias("most")).where(F.col("most") >= least_size).select("code", "root")
+    hits = cut(hits.join(whole, ["code", "root"], "left_semi"), "hits")
+    while True:
+        best = cut(hits.groupBy("code", "note_id").agg(F.max(F.struct("cosine", "root")).alias("x")).select("code", "note_id", "x.root", "x.cosine"), "members")
+        size = best.groupBy("code", "root").agg(F.count("*").alias("size"))
+        failing = cut(hits.select("code", "root").distinct().join(size, ["code", "root"], "left").select("code", "root", F.coalesce("size", F.lit(0)).alias("size")).where(F.col("size") < least_size), "failing")
+        if failing.isEmpty():
+            return best
+        rival = hits.join(failing, ["code", "root"]).select("code", "note_id", "root", F.struct("size", "root").alias("mine")).withColumns({"top": F.max("mine").over(w := Window.partitionBy("code", "note_id")), "n": F.count("*").over(w)})
+        drop = rival.groupBy("code", "root").agg(F.bool_or(F.col("mine") < F.col("top")).alias("loses"), F.max("n").alias("n")).where("loses or n = 1").select("code", "root")
+        hits = cut(hits.join(drop, ["code", "root"], "left_anti"), "hits")
 
 
 @dataclass
@@ -320,20 +340,13 @@ def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: f
     sizes = pieces.where("kind = 2").groupBy("code", "piece").agg(F.sum("weight").alias("weight"))
     roots = merge_by_modularity(sizes, edges, RESOLUTION)
     dim = max(s.pivots.shape[1] for s in spaces)
-    roots = _join_near(pieces, roots, shared, apart, dim)
+    roots = _join_near(pieces, roots, apart, dim)
     sums = _sum_vectors(pieces.where("kind = 2").join(roots, ["code", "piece"]), ["code", "root"], dim)
-    # a community of very few linked rows cannot have least_size members
-    means = sums.where(F.col("n") >= max(2, least_size // 2)).select("code", "root", "vec")
-    there = pieces.where("kind = 2").join(roots, ["code", "piece"]).select("code", "root", "task").distinct()
-    at_home = means.join(there, ["code", "root"]).select("task", "code", "root", F.col("vec").cast("array<float>").alias("vec"))
-    near = means.mapInArrow(_reach(shared), _REACHED)
-    targets = at_home.unionByName(near).select("task", "code", F.lit(None).cast("boolean").alias("home"), F.lit(None).cast("long").alias("note_id"), F.lit(None).cast("long").alias("updated_at"), "vec", "root")
-    homes = rows.mapInArrow(_send(shared, False), _SENT).withColumn("root", F.lit(None).cast("long"))
-    checked = homes.unionByName(targets).repartitionById(tasks, "task").mapInArrow(_check(least_cosine), "code int, root long, note_id long, cosine double")
-    one = checked.groupBy("code", "note_id").agg(F.max(F.struct("cosine", "root")).alias("x")).select("code", "note_id", "x.root", "x.cosine")
+    means = cut(sums.select("code", "root", "vec"), "means")
     names = spark.createDataFrame([(s.code, s.model) for s in spaces], "code int, model string")
-    one = cut(one, "members")
-    ok = one.groupBy("code", "root").agg(F.count("*").alias("size"), F.min("note_id").alias("cluster_id")).where(F.col("size") >= least_size)
+    coded = rows.join(F.broadcast(names), "model").select("code", F.col("note_id").alias("id"), "vec")  # a row per model
+    one = _settled(cut(_near(coded, means, least_cosine).withColumnRenamed("id", "note_id"), "checked"), least_size)
+    ok = one.groupBy("code", "root").agg(F.count("*").alias("size"), F.min("note_id").alias("cluster_id"))
     members = one.join(ok, ["code", "root"]).join(F.broadcast(names), "code")  # a row per model
     return Found(members, pieces, roots, names)
 
@@ -357,8 +370,8 @@ def _alike(edges: DataFrame, means: DataFrame, least: float) -> DataFrame:
     return edges.join(a, ["code", "a"]).join(b, ["code", "b"]).where(_cosine("va", "vb") >= least).select("code", "a", "b", "weight")
 
 
-def _join_near(pieces: DataFrame, roots: DataFrame, spaces, apart: float, dim: int) -> DataFrame:
-    """Roots whose mean directions have at least this cosine are one; they are compared where both reach."""
+def _join_near(pieces: DataFrame, roots: DataFrame, apart: float, dim: int) -> DataFrame:
+    """Roots whose mean directions have at least this cosine are one; those of very few rows join the nearest only, as they could link others."""
     mine = pieces.where("kind = 2").join(roots, ["code", "piece"])
     sums = cut(_sum_vectors(mine, ["code", "root"], dim), "loose")
     # a root whose vectors share no direction falls back to its pieces
@@ -366,10 +379,13 @@ def _join_near(pieces: DataFrame, roots: DataFrame, spaces, apart: float, dim: i
     roots = cut(roots.join(loose, ["code", "root"], "left").select("code", "piece", F.when(F.col("loose"), F.col("piece")).otherwise(F.col("root")).alias("root")), "roots")
     mine = pieces.where("kind = 2").join(roots, ["code", "piece"])
     sums = cut(_sum_vectors(mine, ["code", "root"], dim), "sums")
-    spots = sums.where((F.col("n") >= 3) & (_length("vec") >= COHERENT * F.col("n"))).mapInArrow(_reach(spaces), _REACHED).distinct()
-    a = spots.select("task", "code", F.col("root").alias("a"), F.col("vec").alias("va"))
-    b = spots.select("task", "code", F.col("root").alias("b"), F.col("vec").alias("vb"))
-    half = cut(a.join(b, ["task", "code"]).where("a < b").where(_cosine("va", "vb") >= apart).select("code", "a", "b").distinct().withColumn("weight", F.lit(1.0)), "near")
+    spots = cut(sums.where(_length("vec") >= COHERENT * F.col("n")), "spots")
+    n_of = lambda name: spots.select("code", F.col("root").alias(name), F.col("n").alias(f"n_{name}"))
+    met = _near(spots.withColumnRenamed("root", "id"), spots, apart).where("id <> root").select("code", F.col("id").alias("a"), F.col("root").alias("b"), "cosine")
+    met = cut(met.join(n_of("a"), ["code", "a"]).join(n_of("b"), ["code", "b"]), "met")
+    firm = met.where((F.col("n_a") >= FIRM) & (F.col("n_b") >= FIRM)).select("code", "a", "b")
+    few = met.where(F.col("n_a") < FIRM).groupBy("code", "a").agg(F.max(F.struct("cosine", "n_b", "b")).alias("x")).select("code", "a", F.col("x.b").alias("b"))
+    half = cut(firm.unionByName(few).select("code", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("weight", F.lit(1.0)), "near")
     if half.isEmpty():
         return roots
     edges = half.unionByName(half.select("code", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))

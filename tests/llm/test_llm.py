@@ -77,6 +77,17 @@ def test_sliced_cell_stays_one_cluster(spark, monkeypatch):
     assert len({r["cluster_id"] for r in got}) == 1 and len(got) >= 590
 
 
+def test_members_of_far_cells_are_found(spark, monkeypatch):
+    """A member alone in a cell that 14 others are nearer to its cluster than."""
+    e = np.eye(32)
+    pivots = np.stack([e[0], *(0.66 * e[0] + 0.75 * e[k] for k in range(1, 15)), 0.35 * e[0] + 0.94 * e[20]])
+    monkeypatch.setattr(clusters, "_pivots", lambda x, n, seed=23: unit(pivots).astype(np.float32))
+    x = unit(e[0] + 0.02 * np.random.default_rng(6).standard_normal((12, 32)))
+    rows = [*x, 0.76 * e[0] + 0.65 * e[20]]
+    got = clusters.clusters(vectors(spark, [(i, "m", v, 1) for i, v in enumerate(rows)]), dims={"m": 32}).collect()
+    assert {(r["note_id"], r["cluster_id"]) for r in got} == {(i, 0) for i in range(13)}
+
+
 # p4 -----------------------------------------------------------------------------------------------
 
 
