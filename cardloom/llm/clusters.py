@@ -56,17 +56,29 @@ class Space:
     slices: np.ndarray
 
 
+def _digest(x: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each unit row, the same for the same direction to six digits."""
+    odd = np.random.default_rng(71).integers(-(2**62), 2**62, x.shape[1]) | 1
+    return (np.round(x.astype(np.float64) * 1e6).astype(np.int64) * odd).sum(1)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    return x[np.sort(np.unique(_digest(x), return_index=True)[1])]
+
+
 def _pivots(x: np.ndarray, n: int, seed: int = 23) -> np.ndarray:
-    """Spherical k-means."""
+    """Spherical k-means over the distinct vectors; at most n pivots, each different and nearest to some vector."""
+    x = _distinct(x)
     rng = np.random.default_rng([seed, len(x)])
-    c = x[rng.choice(len(x), n, replace=False)]
+    c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
     for _ in range(8):
         at = np.argmax(x @ c.T, 1)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         norm = np.sqrt((sums**2).sum(1))
         c = np.where(norm[:, None] > 1e-6, sums / np.maximum(norm, 1e-6)[:, None], c)
-    return c.astype(np.float32)
+    c = _distinct(c.astype(np.float32))
+    return c[np.unique(np.argmax(x @ c.T, 1))]
 
 
 def _spaces(rows: DataFrame, sample: int, cell: int) -> tuple[list[Space], int]:

@@ -88,6 +88,16 @@ def test_members_of_far_cells_are_found(spark, monkeypatch):
     assert {(r["note_id"], r["cluster_id"]) for r in got} == {(i, 0) for i in range(13)}
 
 
+def test_pivots_are_distinct():
+    rng = np.random.default_rng(8)
+    x = unit(rng.standard_normal((900, 16))).astype(np.float32)
+    x[:300] = x[0]
+    c = clusters._pivots(x, 64)
+    assert len(np.unique(c.round(4), axis=0)) == len(c) >= 50
+    assert set(np.argmax(x @ c.T, 1)) == set(range(len(c)))
+    assert len(clusters._pivots(x[:300], 20)) == 1
+
+
 # p4 -----------------------------------------------------------------------------------------------
 
 
