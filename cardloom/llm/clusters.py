@@ -26,7 +26,7 @@ from cardloom.shared import cut
 #: Vectors per model that pivots are fitted on, rows a cell is planned for, pivots of a model at most.
 SAMPLE, CELL, PIVOTS = 8_000, 4_000, 256
 
-#: Rows of a cell (by the sample's estimate) from which it is cut into slices, tied by rows in common.
+#: Distinct vectors of a cell (by the sample's estimate) from which it is split by pivots of its own, and of a part at least.
 SLICE, TIES = 40_000, 400
 
 #: Neighbours per vector, least cosine of an edge, resolution of the modularity.
@@ -47,13 +47,12 @@ FEW_KEYS = 500_000
 
 @dataclass
 class Space:
-    """Pivots of one model, and the first task and number of slices of each cell."""
+    """Pivots of one model, and the task of its first cell."""
 
     model: str
     code: int
     pivots: np.ndarray
-    base: np.ndarray
-    slices: np.ndarray
+    base: int
 
 
 def _digest(x: np.ndarray) -> np.ndarray:
@@ -81,6 +80,20 @@ def _pivots(x: np.ndarray, n: int, seed: int = 23) -> np.ndarray:
     return c[np.unique(np.argmax(x @ c.T, 1))]
 
 
+def _split(x: np.ndarray, c: np.ndarray, each: float) -> np.ndarray:
+    """Pivots c, those of cells above SLICE replaced by several; a vector of the sample x stands for `each`."""
+    x = _distinct(x)
+    while True:
+        at = np.argmax(x @ c.T, 1)
+        size = np.bincount(at, minlength=len(c)) * each
+        parts = {i: _pivots(x[at == i], max(2, min(int(np.ceil(2 * size[i] / SLICE)), int(size[i] // TIES)))) for i in np.flatnonzero(size > SLICE)}
+        parts = {i: p for i, p in parts.items() if len(p) > 1}
+        if not parts:
+            return c
+        c = _distinct(np.concatenate([np.delete(c, list(parts), 0), *parts.values()]))
+        c = c[np.unique(np.argmax(x @ c.T, 1))]
+
+
 def _spaces(rows: DataFrame, sample: int, cell: int) -> tuple[list[Space], int]:
     counts = sorted((r["model"], r["n"]) for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect())  # a row per model
     share = F.lit(0.0)
@@ -92,24 +105,21 @@ def _spaces(rows: DataFrame, sample: int, cell: int) -> tuple[list[Space], int]:
         part = taken.filter(pa.compute.equal(taken["model"], model))
         x = matrix(part["vec"]) if part.num_rows else np.empty((0, 1), np.float32)
         c = _pivots(x, max(1, min(PIVOTS, len(x), round(n / cell)))) if len(x) else np.ones((1, 1), np.float32)
-        size = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c)) * (n / max(1, len(x))) if len(x) else np.zeros(1)
-        slices = np.maximum(1, np.ceil(size / SLICE)).astype(np.int64)
-        spaces.append(Space(model, code, c, tasks + np.concatenate(([0], np.cumsum(slices)[:-1])), slices))
-        tasks += int(slices.sum())
+        c = _split(x, c, n / len(x)) if len(x) else c
+        spaces.append(Space(model, code, c, tasks))
+        tasks += len(c)
     return spaces, tasks
 
 
-def _mix(ids: np.ndarray, salt: int) -> np.ndarray:
-    h = (ids.view(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ h >> np.uint64(29)) >> np.uint64(1)
+_SENT = "task int, code int, home boolean, note_id long, copies array<long>, vec array<float>"
 
 
-_SENT = "task int, code int, home boolean, note_id long, updated_at long, vec array<float>"
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
 
 
-def _send(spaces, guests: bool):
-    """Rows to their home cell, and with guests to the next nearest; in sliced cells ties go to every slice."""
+def _send(spaces):
+    """Rows to their home cell and to the next nearest; notes of equal vectors in a batch are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_name = {s.model: s for s in spaces.value}
@@ -121,31 +131,23 @@ def _send(spaces, guests: bool):
                 part = b.take(pa.array(rows))
                 x = matrix(part.column("vec"))
                 ids = part.column("note_id").to_numpy(zero_copy_only=False)
-                at = part.column("updated_at").to_numpy(zero_copy_only=False)
+                key = _digest(x)
+                by = np.lexsort((ids, key))
+                head = np.ones(len(by), bool)
+                head[1:] = key[by][1:] != key[by][:-1]
+                x, note, others = x[by[head]], ids[by[head]], ids[by[~head]]
+                counts = np.diff(np.append(np.flatnonzero(head), len(by))) - 1
                 near = x @ space.pivots.T
                 first = np.argmax(near, 1)
-                slice_of = (_mix(ids, 1) % space.slices[first].astype(np.uint64)).astype(np.int64)
-                who, task, home = [np.arange(len(ids))], [space.base[first] + slice_of], [np.ones(len(ids), bool)]
-                if guests and len(space.pivots) > 1:
-                    near[np.arange(len(ids)), first] = -2
-                    second = np.argmax(near, 1)
-                    who.append(np.arange(len(ids)))
-                    task.append(space.base[second] + (_mix(ids, 2) % space.slices[second].astype(np.uint64)).astype(np.int64))
-                    home.append(np.zeros(len(ids), bool))
-                if guests and (space.slices[first] > 1).any():
-                    # the estimate of a cell's rows is at most SLICE per slice
-                    tie = np.flatnonzero((space.slices[first] > 1) & (_mix(ids, 3) % np.maximum(1, SLICE * space.slices[first] // TIES).astype(np.uint64) == 0))
-                    for i in tie:
-                        cell = first[i]
-                        others = np.setdiff1d(np.arange(space.slices[cell]), [slice_of[i]])
-                        who.append(np.full(len(others), i))
-                        task.append(space.base[cell] + others)
-                        home.append(np.zeros(len(others), bool))
-                w = np.concatenate(who)
-                flat = pa.array(x[w].ravel())
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, x.shape[1], dtype=np.int32)), flat)
-                columns = [pa.array(np.concatenate(task).astype(np.int32)), pa.array(np.full(len(w), space.code, np.int32)), pa.array(np.concatenate(home)), pa.array(ids[w]), pa.array(at[w]), vec]
-                yield pa.RecordBatch.from_arrays(columns, names=["task", "code", "home", "note_id", "updated_at", "vec"])
+                sent = [(first, True)]
+                if len(space.pivots) > 1:
+                    near[np.arange(len(note)), first] = -2
+                    sent.append((np.argmax(near, 1), False))
+                for cell, home in sent:
+                    k = len(note)
+                    vec = _lists(x.ravel(), np.full(k, x.shape[1]))
+                    columns = [pa.array((space.base + cell).astype(np.int32)), pa.array(np.full(k, space.code, np.int32)), pa.array(np.full(k, home)), pa.array(note), _lists(others, counts), vec]
+                    yield pa.RecordBatch.from_arrays(columns, names=["task", "code", "home", "note_id", "copies", "vec"])
 
     return run
 
@@ -158,25 +160,33 @@ def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kind 0: a home row with its piece, weighted degree, and degree inside the piece; kind 1: a guest of a
     piece with the weight of its edges to it; kind 2: a piece with its home rows and their vector sum.
-    A piece is named by its smallest home note_id.
+    A piece is named by its smallest home note_id. Notes of equal vectors are one node of the graph, which
+    counts as often in numbers and sums; without other edges they are a piece of their own.
     """
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got)
-    home = t["home"].to_numpy(zero_copy_only=False)
-    ids = t["note_id"].to_numpy()
-    by = np.lexsort((~home, ids))
+    copies = t["copies"].combine_chunks()
+    row = np.concatenate([np.arange(len(t)), np.repeat(np.arange(len(t)), copies.value_lengths().to_numpy(zero_copy_only=False))])
+    notes = np.concatenate([t["note_id"].to_numpy(), copies.flatten().to_numpy(zero_copy_only=False)])
+    at_home = t["home"].to_numpy(zero_copy_only=False)[row]
+    x = matrix(t["vec"])
+    by = np.lexsort((_digest(x)[row], ~at_home, notes))
     first = np.ones(len(by), bool)
-    first[1:] = ids[by][1:] != ids[by][:-1]
+    first[1:] = notes[by][1:] != notes[by][:-1]
     by = by[first]  # a note once, as home row if it is one
-    ids, home, x = ids[by], home[by], matrix(t["vec"].take(pa.array(by)))
+    row, notes, at_home = row[by], notes[by], at_home[by]
+    _, one, node_of = np.unique(_digest(x)[row], return_index=True, return_inverse=True)
+    x, ids, n = x[row[one]], notes[one], len(one)  # notes ascend, so ids has the smallest of each node
+    home = np.bincount(node_of, at_home, n) > 0
+    times = np.bincount(node_of, minlength=n)
     code, task = t["code"][0].as_py(), t["task"][0].as_py()
-    n = len(ids)
-    if n < 2:
+    if n < 2 and times[0] < 2:
         return
-    a, b, w = G.graph(*G.neighbour_descent(x, min(NEIGHBOURS, n - 1)), EDGE)
-    if not len(a):
+    empty = np.empty(0, np.int64)
+    a, b, w = G.graph(*G.neighbour_descent(x, min(NEIGHBOURS, n - 1)), EDGE) if n > 1 else (empty, empty, np.empty(0))
+    if not len(a) and times.max() < 2:
         return
     label = G.coherent_communities(x, a, b, w, RESOLUTION, COHERENT)
     m = int(label.max()) + 1
@@ -184,17 +194,19 @@ def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name = np.full(m, big)
     np.minimum.at(name, label[home], ids[home])
     degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+    degree = np.where(times > 1, np.maximum(degree, 1.0), degree)
     same = label[a] == label[b]
     inside = np.bincount(a[same], w[same], n) + np.bincount(b[same], w[same], n)
     mixed = same & (home[a] != home[b])
     guest, size = np.where(home[a], b, a)[mixed], n
     link = np.bincount(guest, w[mixed], size)
-    node = np.flatnonzero(home & (degree > 0))
+    node = np.flatnonzero((home & (degree > 0))[node_of])
+    of = node_of[node]
     visitor = np.flatnonzero(~home & (link > 0) & (name[label] != big))
     members = np.flatnonzero(home & (degree > 0))
     sums = np.zeros((m, x.shape[1]))
-    np.add.at(sums, label[members], x[members])
-    count = np.bincount(label[members], minlength=m)
+    np.add.at(sums, label[members], x[members] * times[members, None])
+    count = np.bincount(label[members], times[members], m).astype(np.int64)
     pieces = np.flatnonzero((count > 0) & (name != big))
 
     def rows(kind: int, note: np.ndarray, piece: np.ndarray, weight: np.ndarray, ins: np.ndarray, number: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
@@ -204,7 +216,7 @@ def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     none = lambda k: pa.nulls(k, pa.list_(pa.float32()))
     zero = np.zeros
-    yield rows(0, ids[node], name[label[node]], degree[node], inside[node], zero(len(node)), none(len(node)))
+    yield rows(0, notes[node], name[label[of]], degree[of], inside[of], zero(len(node)), none(len(node)))
     yield rows(1, ids[visitor], name[label[visitor]], link[visitor], zero(len(visitor)), zero(len(visitor)), none(len(visitor)))
     total = np.bincount(label[members], degree[members], m)
     vec = pa.array([s.astype(np.float32) for s in sums[pieces]], pa.list_(pa.float32()))
@@ -342,7 +354,7 @@ def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: f
     if not tasks:
         return None
     shared = spark.sparkContext.broadcast(spaces)
-    sent = rows.mapInArrow(_send(shared, True), _SENT)
+    sent = rows.mapInArrow(_send(shared), _SENT)
     pieces = cut(sent.repartitionById(tasks, "task").mapInArrow(_cell, _PIECES), "pieces")
     node = pieces.where("kind = 0").groupBy("code", "note_id").agg(F.min("piece").alias("piece"))
     guest = pieces.where("kind = 1").select("code", "note_id", F.col("piece").alias("other"), "weight")
@@ -414,8 +426,8 @@ def clusters(vectors: DataFrame, **options) -> DataFrame:
     either. A note is in one cluster at most, a cluster has at least least_size notes, each with at least
     least_cosine to the mean direction; mean directions of different clusters have a cosine below `apart`.
     Null, empty or unusable vectors are in none, an empty table gives no rows, extra columns are ignored.
-    Copies are mutually similar like any other notes. Cells hold bounded numbers of rows: a hot cell is
-    cut into slices that share TIES rows.
+    Copies are mutually similar like any other notes. Cells are planned for bounded numbers of distinct
+    vectors: a hot cell is split by pivots of its own, and copies are one row a batch.
     """
     found = similarity_clusters(vectors, **options)
     if found is None:

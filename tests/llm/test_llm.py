@@ -98,6 +98,16 @@ def test_pivots_are_distinct():
     assert len(clusters._pivots(x[:300], 20)) == 1
 
 
+def test_small_clusters_of_a_hot_cell(spark, monkeypatch):
+    """A cell of 16 small clusters and many copies, far above the rows of one: each cluster stays whole."""
+    monkeypatch.setattr(clusters, "SLICE", 60)
+    monkeypatch.setattr(clusters, "TIES", 4)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([blobs(rng, 16, 10, 32, 0.06), np.repeat(unit(rng.standard_normal((1, 32))), 150, 0)])
+    got = clusters.clusters(vectors(spark, [(i, "m", v * rng.uniform(0.5, 2), 1) for i, v in enumerate(x)]), dims={"m": 32}, cell=10_000).collect()
+    assert {r["note_id"]: r["cluster_id"] for r in got} == {i: i // 10 * 10 if i < 160 else 160 for i in range(310)}
+
+
 # p4 -----------------------------------------------------------------------------------------------
 
 
