@@ -136,27 +136,55 @@ def tree_from_merges(leaves: pd.DataFrame, merges: pd.DataFrame, most: float | N
 
 
 def ward_merges(centers: np.ndarray, sizes: np.ndarray, first_parent: int) -> list[tuple[int, int, int, float]]:
-    """(parent, left, right, distance) of Ward's agglomeration over a run's centroids (some hundred at most)."""
-    live = {i: (centers[i].astype(float), float(max(1, sizes[i]))) for i in range(len(centers))}
+    """(parent, left, right, distance) of Ward's agglomeration over a run's centroids, by rising distance.
+
+    Chains of nearest neighbours: work grows with the square of the centroids, memory with their number.
+    """
+    k = len(centers)
+    x, n, live = np.array(centers, float), np.maximum(1, np.array(sizes, float)), np.ones(k, bool)
+    found, chain = [], []
+    for _ in range(k - 1):
+        if not chain:
+            chain = [int(np.argmax(live))]
+        while True:
+            a = chain[-1]
+            d = np.where(live, ((x - x[a]) ** 2).sum(1) * (n * n[a] / (n + n[a])), np.inf)
+            d[a] = np.inf
+            b = int(np.argmin(d))
+            if len(chain) > 1 and d[chain[-2]] <= d[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        found.append((float(np.sqrt(2 * d[b])), a, b))
+        x[a], n[a], live[b] = (x[a] * n[a] + x[b] * n[b]) / (n[a] + n[b]), n[a] + n[b], False
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while i in up:
+            if up[i] in up:
+                up[i] = up[up[i]]
+            i = up[i]
+        return i
+
     out = []
-    while len(live) > 1:
-        ids = list(live)
-        x, n = np.stack([live[i][0] for i in ids]), np.array([live[i][1] for i in ids])
-        d = ((x[:, None] - x[None]) ** 2).sum(-1) * (n[:, None] * n[None] / (n[:, None] + n[None]))
-        d[np.tril_indices(len(ids))] = np.inf
-        a, b = divmod(int(np.argmin(d)), len(ids))
-        parent = first_parent + len(out)
-        out.append((parent, ids[a], ids[b], float(np.sqrt(2 * d[a, b]))))
-        (xa, na), (xb, nb) = live.pop(ids[a]), live.pop(ids[b])
-        live[parent] = ((xa * na + xb * nb) / (na + nb), na + nb)
+    for j, (distance, a, b) in enumerate(sorted(found, key=lambda f: f[0])):
+        ra, rb = sorted((root(a), root(b)))
+        up[ra] = up[rb] = first_parent + j
+        out.append((first_parent + j, ra, rb, distance))
     return out
 
 
-def build(docs: DataFrame, k: int | None = None, most_leaves: int = 200, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def leaf_count(n: int) -> int:
+    """Leaf topics of a map of n notes, as the schedule's topic size suggests."""
+    return max(2, n // int(schedule(n)["min_topic_size"]) // 4)
+
+
+def build(docs: DataFrame, k: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Topics and memberships of a corpus (note_id, vec, tokens): ((topic_id, parent_id, label, level, size), (topic_id, note_id, cos)).
 
-    Leaves are bisecting k-means clusters of unit vectors, as many as the schedule's topic size suggests and
-    at most most_leaves; parents come from Ward's agglomeration of the leaves' centroids; labels are the four
+    Leaves are bisecting k-means clusters of unit vectors, as many as the schedule's topic size
+    suggests; parents come from Ward's agglomeration of the leaves' centroids; labels are the four
     best c-TF-IDF terms. One note gives one topic "All Notes".
     """
     from pyspark.ml.clustering import BisectingKMeans
@@ -170,7 +198,7 @@ def build(docs: DataFrame, k: int | None = None, most_leaves: int = 200, seed: i
         return spark.createDataFrame([], topic_schema), spark.createDataFrame([], member_schema)
     if n == 1:
         return spark.createDataFrame([(0, None, "All Notes", 0, 1)], topic_schema), rows.select(F.lit(0).alias("topic_id"), "note_id", F.lit(1.0).alias("cos"))
-    want = k or max(2, min(most_leaves, n // int(schedule(n)["min_topic_size"]) // 4))
+    want = k or leaf_count(n)
     model = BisectingKMeans(k=want, seed=seed, featuresCol="features", predictionCol="topic_id", distanceMeasure="cosine", maxIter=8).fit(rows.select(array_to_vector("unit").alias("features")))
     placed = model.transform(rows.withColumn("features", array_to_vector("unit"))).drop("features").persist()
     sizes = placed.groupBy("topic_id").count().toPandas().set_index("topic_id")["count"]  # a row per leaf
@@ -183,7 +211,7 @@ def build(docs: DataFrame, k: int | None = None, most_leaves: int = 200, seed: i
     tree = tree_from_merges(pd.DataFrame({"topic_id": ids, "size": sizes.loc[ids].to_numpy(), "label": [terms.get(i, "") for i in ids]}), pd.DataFrame(fixed, columns=["parent", "name", "left", "right", "distance"]))
     data = [(int(r.topic_id), None if pd.isna(r.parent_id) else int(r.parent_id), str(r.label or ""), int(r.level), int(r.size)) for r in tree[["topic_id", "parent_id", "label", "level", "size"]].itertuples(index=False)]
     at = spark.createDataFrame([(i, [float(v) for v in centers[i]]) for i in ids], "topic_id int, center array<double>")
-    members = placed.join(F.broadcast(at), "topic_id").select("topic_id", "note_id", S.cosine(F.col("unit"), F.col("center")).alias("cos"))  # at most most_leaves rows
+    members = placed.join(at, "topic_id").select("topic_id", "note_id", S.cosine(F.col("unit"), F.col("center")).alias("cos"))
     return spark.createDataFrame(data, topic_schema), members
 
 

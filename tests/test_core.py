@@ -242,3 +242,23 @@ def test_core_needs_no_llm():
             for n in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in n.names] if isinstance(n, ast.Import) else [n.module or ""] if isinstance(n, ast.ImportFrom) else []
                 assert not any("cardloom.llm" in x for x in names), p
+
+
+def test_map_leaves_follow_the_schedule():
+    assert M.leaf_count(130_000) == 130_000 // 14 // 4 and M.leaf_count(3) == 2
+
+
+def test_ward_of_many_leaves():
+    """The same tree as the plain search for the nearest pair, and in little memory for thousands of leaves."""
+    rng = np.random.default_rng(5)
+    x, n = rng.standard_normal((40, 6)), rng.integers(1, 50, 40)
+    live, want = {i: (x[i], float(n[i])) for i in range(40)}, []
+    while len(live) > 1:
+        cost = {(a, b): ((live[a][0] - live[b][0]) ** 2).sum() * live[a][1] * live[b][1] / (live[a][1] + live[b][1]) for a in live for b in live if a < b}
+        a, b = min(cost, key=cost.get)
+        (xa, na), (xb, nb) = live.pop(a), live.pop(b)
+        want.append((40 + len(want), a, b, np.sqrt(2 * cost[a, b])))
+        live[want[-1][0]] = ((xa * na + xb * nb) / (na + nb), na + nb)
+    got = M.ward_merges(x, n, 40)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    assert len(M.ward_merges(rng.standard_normal((2400, 48)), np.ones(2400), 2400)) == 2399
