@@ -152,15 +152,16 @@ def _send(spaces):
     return run
 
 
-_PIECES = "kind int, code int, note_id long, piece long, weight double, inside double, task int, n int, vec array<float>"
+_PIECES = "kind int, code int, note_id long, piece long, weight double, task int, n int, vec array<float>"
 
 
-def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell(batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa.RecordBatch]:
     """Graph and pieces of one cell.
 
-    kind 0: a home row with its piece, weighted degree, and degree inside the piece; kind 1: a guest of a
+    kind 0: a home row with its piece and weighted degree; kind 1: a guest of a
     piece with the weight of its edges to it; kind 2: a piece with its home rows and their vector sum.
-    A piece is named by its smallest home note_id. Notes of equal vectors are one node of the graph, which
+    With edges, kind 3: a note, as `piece` a neighbour in the cell and the weight of their edge; copies of the
+    note count as one edge to itself. A piece is named by its smallest home note_id. Notes of equal vectors are one node of the graph, which
     counts as often in numbers and sums; without other edges they are a piece of their own.
     """
     got = [b for b in batches if b.num_rows]
@@ -196,7 +197,6 @@ def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     degree = np.bincount(a, w, n) + np.bincount(b, w, n)
     degree = np.where(times > 1, np.maximum(degree, 1.0), degree)
     same = label[a] == label[b]
-    inside = np.bincount(a[same], w[same], n) + np.bincount(b[same], w[same], n)
     mixed = same & (home[a] != home[b])
     guest, size = np.where(home[a], b, a)[mixed], n
     link = np.bincount(guest, w[mixed], size)
@@ -209,18 +209,30 @@ def _cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.bincount(label[members], times[members], m).astype(np.int64)
     pieces = np.flatnonzero((count > 0) & (name != big))
 
-    def rows(kind: int, note: np.ndarray, piece: np.ndarray, weight: np.ndarray, ins: np.ndarray, number: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
+    def rows(kind: int, note: np.ndarray, piece: np.ndarray, weight: np.ndarray, number: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
         k = len(piece)
         full = lambda v: pa.array(np.full(k, v, np.int32))
-        return pa.RecordBatch.from_arrays([full(kind), full(code), pa.array(note.astype(np.int64)), pa.array(piece), pa.array(weight.astype(float)), pa.array(ins.astype(float)), full(task), pa.array(number.astype(np.int32)), vec], names=[c.split()[0] for c in _PIECES.split(", ")])
+        return pa.RecordBatch.from_arrays([full(kind), full(code), pa.array(note.astype(np.int64)), pa.array(piece), pa.array(weight.astype(float)), full(task), pa.array(number.astype(np.int32)), vec], names=[c.split()[0] for c in _PIECES.split(", ")])
 
     none = lambda k: pa.nulls(k, pa.list_(pa.float32()))
     zero = np.zeros
-    yield rows(0, notes[node], name[label[of]], degree[of], inside[of], zero(len(node)), none(len(node)))
-    yield rows(1, ids[visitor], name[label[visitor]], link[visitor], zero(len(visitor)), zero(len(visitor)), none(len(visitor)))
+    yield rows(0, notes[node], name[label[of]], degree[of], zero(len(node)), none(len(node)))
+    yield rows(1, ids[visitor], name[label[visitor]], link[visitor], zero(len(visitor)), none(len(visitor)))
     total = np.bincount(label[members], degree[members], m)
     vec = pa.array([s.astype(np.float32) for s in sums[pieces]], pa.list_(pa.float32()))
-    yield rows(2, zero(len(pieces)), name[pieces], total[pieces], zero(len(pieces)), count[pieces], vec)
+    yield rows(2, zero(len(pieces)), name[pieces], total[pieces], count[pieces], vec)
+    if not edges:
+        return
+    order = np.argsort(node_of, kind="stable")
+    starts = np.cumsum(times) - times
+    for u, v in ((a, b), (b, a)):
+        for k in range(0, len(u), 100_000):
+            p, q, ww = u[k : k + 100_000], v[k : k + 100_000], w[k : k + 100_000]
+            each = np.repeat(np.arange(len(p)), times[p])
+            place = np.arange(len(each)) - np.repeat(np.cumsum(times[p]) - times[p], times[p])
+            yield rows(3, notes[order[starts[p[each]] + place]], ids[q[each]], ww[each], zero(len(each)), none(len(each)))
+    more = np.flatnonzero(times[node_of] > 1)
+    yield rows(3, notes[more], notes[more], np.minimum(times[node_of[more]] - 1, NEIGHBOURS), zero(len(more)), none(len(more)))
 
 
 def merge_by_modularity(nodes: DataFrame, edges: DataFrame, resolution: float, most_rounds: int = 12) -> DataFrame:
@@ -346,16 +358,16 @@ def _current(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, ["model", "note_id"], "left").where("newest is null or updated_at = newest").select("model", "note_id", "updated_at", "vec")
 
 
-def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: float = 0.7, least_size: int = 8, dims: dict[str, int] | None = None, sample: int = SAMPLE, cell: int = CELL) -> Found | None:
-    """Clusters of each model: see clusters() for the result and the defined cases; None for an empty table."""
-    spark = vectors.sparkSession
+def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: float = 0.7, least_size: int = 8, dims: dict[str, int] | None = None, sample: int = SAMPLE, cell: int = CELL, edges: bool = False) -> Found | None:
+    """Clusters of each model: see clusters() for the result and the defined cases; None for an empty table. edges: pieces have the edges too."""
+    spark, keep_edges = vectors.sparkSession, edges
     rows = _current(usable(vectors, dims))
     spaces, tasks = _spaces(rows, sample, cell)
     if not tasks:
         return None
     shared = spark.sparkContext.broadcast(spaces)
     sent = rows.mapInArrow(_send(shared), _SENT)
-    pieces = cut(sent.repartitionById(tasks, "task").mapInArrow(_cell, _PIECES), "pieces")
+    pieces = cut(sent.repartitionById(tasks, "task").mapInArrow(lambda batches: _cell(batches, keep_edges), _PIECES), "pieces")
     node = pieces.where("kind = 0").groupBy("code", "note_id").agg(F.min("piece").alias("piece"))
     guest = pieces.where("kind = 1").select("code", "note_id", F.col("piece").alias("other"), "weight")
     half = guest.join(node, ["code", "note_id"]).where("piece <> other").groupBy("code", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b")).agg(F.sum("weight").alias("weight"))
@@ -438,12 +450,15 @@ def clusters(vectors: DataFrame, **options) -> DataFrame:
 def cluster_report(vectors: DataFrame, typical: int = 3, **options) -> DataFrame:
     """(model, cluster_id, size, typical_ids): each cluster by size and its members of the highest internal weighted degree.
 
+    The degree sums a note's edges to all notes of its cluster, whichever cell or piece found them.
     typical_ids are ordered by falling degree, then by note_id.
     """
-    found = similarity_clusters(vectors, **options)
+    found = similarity_clusters(vectors, edges=True, **options)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "model string, cluster_id long, size long, typical_ids array<long>")
-    degree = found.pieces.where("kind = 0").groupBy("code", "note_id").agg(F.max("inside").alias("inside"))
+    edges = found.pieces.where("kind = 3").groupBy("code", "note_id", F.col("piece").alias("other")).agg(F.max("weight").alias("weight"))  # two cells may have found one
+    mine = found.members.select("code", "note_id", "root")
+    degree = edges.join(mine, ["code", "note_id"]).join(mine.withColumnRenamed("note_id", "other"), ["code", "other", "root"]).groupBy("code", "note_id").agg(F.sum("weight").alias("inside"))
     with_degree = found.members.join(degree, ["code", "note_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
     w = Window.partitionBy("model", "cluster_id").orderBy(F.desc("inside"), "note_id")
     top = with_degree.withColumn("place", F.row_number().over(w)).where(F.col("place") <= typical)

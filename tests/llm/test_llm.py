@@ -108,6 +108,22 @@ def test_small_clusters_of_a_hot_cell(spark, monkeypatch):
     assert {r["note_id"]: r["cluster_id"] for r in got} == {i: i // 10 * 10 if i < 160 else 160 for i in range(310)}
 
 
+def test_typical_members_of_several_cells(spark, monkeypatch):
+    """The degree counts edges of all cells, not only of a note's home."""
+    rng = np.random.default_rng(10)
+    x = unit(unit(rng.standard_normal(16)) + 0.13 * rng.standard_normal((11, 16))).astype(np.float32)
+    pivots = x[:5]
+    monkeypatch.setattr(clusters, "_pivots", lambda x, n, seed=23: pivots)
+    cells = np.argsort(-(x @ pivots.T), 1)[:, :2]
+    cos = x.astype(float) @ x.T.astype(float)
+    met = np.array([[i != j and cos[i, j] >= 0.55 and bool(set(cells[i]) & set(cells[j])) for j in range(11)] for i in range(11)])
+    home = np.array([[met[i, j] and cells[i, 0] in cells[j] for j in range(11)] for i in range(11)])
+    best = lambda edges: [int(i) for i in np.argsort(-(cos * edges).sum(1), kind="stable")[:3]]
+    assert best(met) != best(home)
+    got = clusters.cluster_report(vectors(spark, [(i, "m", v, 1) for i, v in enumerate(x)]), dims={"m": 16}).collect()
+    assert [(r["size"], r["typical_ids"]) for r in got] == [(11, best(met))]
+
+
 # p4 -----------------------------------------------------------------------------------------------
 
 
