@@ -66,14 +66,14 @@ def box_gaps(lo: np.ndarray, hi: np.ndarray, los: np.ndarray, his: np.ndarray) -
 
 
 class TopK:
-    """Best k (cosine, id) per row, kept as rows arrive; floor[row] is what a new one must reach."""
+    """Best k (cosine, id) per row, kept as rows arrive; floor[row] is what a new one must reach. least is one for all or one per row."""
 
-    def __init__(self, n: int, k: int, least: float):
+    def __init__(self, n: int, k: int, least: float | np.ndarray):
         self.k, self.n = k, n
         self.cos = np.full((n, k), -np.inf, np.float32)
         self.col = np.full((n, k), -1, np.int64)
-        self.floor = np.full(n, least, np.float32)
-        self.least = least
+        self.least = np.array(np.broadcast_to(np.asarray(least, np.float32), n))
+        self.floor = self.least.copy()
 
     def add(self, rows: np.ndarray, cols: np.ndarray, cos: np.ndarray) -> None:
         if not len(rows):
@@ -92,7 +92,8 @@ class TopK:
         self.col[touched[r[keep]], rank[keep]] = c[keep]
         full = self.cos[touched, self.k - 1]
         # a full row takes only strictly better ones
-        self.floor[touched] = np.where(full > -np.inf, np.nextafter(np.maximum(full, self.least), np.float32(2)), self.least)
+        least = self.least[touched]
+        self.floor[touched] = np.where(full > -np.inf, np.nextafter(np.maximum(full, least), np.float32(2)), least)
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, j = np.nonzero(self.col >= 0)
@@ -125,25 +126,32 @@ def _chunks(index: Index, leaves: np.ndarray, rows: int):
         yield group
 
 
-def search_both(a: Index, b: Index, top_a: TopK, top_b: TopK, same: bool, quantile: float, rows: int = 4096) -> int:
+def search_both(a: Index, b: Index, top_a: TopK, top_b: TopK, same: bool, quantile: float, rows: int = 4096, shift: int = 0) -> int:
     """All pairs whose cosine reaches the floor of either side, found once and given to both sides.
 
     Leaves are skipped when the chi-square test says that their rows are farther than the floor with
-    the wanted probability. Returns how many pairs were verified.
+    the wanted probability. Rows of b are known to a by their number plus shift. Returns how many pairs were verified.
     """
     verified = 0
+    if not len(b.x):
+        return 0
     for i in range(len(a)):
         s, e = a.starts[i], a.starts[i + 1]
         q = a.x[s:e]
         first = i if same else 0
         gaps = box_gaps(a.lo[i], a.hi[i], b.lo[first:], b.hi[first:])
-        reach = (2 - 2 * min(float(top_a.floor[s:e].min()), float(top_b.floor.min()) if len(top_b.floor) else 1.0)) * quantile
-        near = np.flatnonzero(gaps <= reach) + first
+        lowest = min(float(top_a.floor[s:e].min()), float(top_b.floor.min()))
+        near = np.flatnonzero(gaps <= (2 - 2 * lowest) * quantile) + first
         for group in _chunks(b, near, rows):
             at = np.concatenate([np.arange(b.starts[g], b.starts[g + 1]) for g in group])
             cos = q @ b.x[at].T
             verified += cos.size
-            hit = cos >= np.minimum(top_a.floor[s:e, None], top_b.floor[None, at]) if top_a.floor[s:e].max() > top_a.least or top_b.floor[at].max() > top_b.least else cos >= top_a.least
+            low_a, low_b = top_a.floor[s:e], top_b.floor[at]
+            least = min(float(low_a.min()), float(low_b.min()))
+            if least == max(float(low_a.max()), float(low_b.max())):
+                hit = cos >= least
+            else:
+                hit = cos >= np.minimum(low_a[:, None], low_b[None])
             r, c = np.nonzero(hit)
             if not len(r):
                 continue
@@ -154,7 +162,7 @@ def search_both(a: Index, b: Index, top_a: TopK, top_b: TopK, same: bool, quanti
                 r, c, v = r[keep], c[keep], v[keep]
                 top_a.add(np.concatenate([r, c]), np.concatenate([c, r]), np.concatenate([v, v]))
             else:
-                top_a.add(r, c, v)
+                top_a.add(r, c + shift, v)
                 top_b.add(c, r, v)
     return verified
 

@@ -150,7 +150,7 @@ def test_nearest_recall(spark, least):
     x = blobs(np.random.default_rng(3), 25, 40)
     df = vectors(spark, [(i, "m", v * 3, 1) for i, v in enumerate(x)] + [(0, "m", -x[0], 0), (5000, "m", [0.0] * 16, 1), (5001, "m", [float("inf")] * 16, 1), (None, "m", x[0], 1), (1, None, x[0], 1)])
     want = brute_knn(x.astype(np.float32).astype(float), 5, -2 if least is None else least)
-    got = {(r["note_id"], r["neighbour_id"]): r["cosine"] for r in neighbours.nearest(df, 5, least, dims={"m": 16}, side=300).collect()}
+    got = {(r["note_id"], r["neighbour_id"]): r["cosine"] for r in neighbours.nearest(df, 5, least, dims={"m": 16}, cell=60).collect()}
     assert len(got.keys() & want.keys()) >= 0.98 * len(want)
     assert all(math.isclose(got[p], want[p], abs_tol=1e-5) for p in got.keys() & want.keys())
 
@@ -165,6 +165,52 @@ def test_nearest_edges(spark):
     assert neighbours.near_pairs(same, 5, 0.95).count() == neighbours.near_pairs(same, 5, 0.95).distinct().count()
 
 
+def test_nearest_of_copies(spark):
+    """A third of all rows are one vector: each copy has the k smallest ids, and the others come out as without the copies."""
+    rng = np.random.default_rng(8)
+    x = blobs(rng, 20, 15)
+    rows = [(i, "m", v, 1) for i, v in enumerate(x)] + [(1000 + i, "m", x[7], 1) for i in range(150)] + [(1003, "m", x[7], 1), (2, "m", x[9], 0)]
+    got = {}
+    for r in neighbours.nearest(vectors(spark, rows), 3, 0.8, cell=40).collect():
+        got.setdefault(r["note_id"], []).append((r["place"], r["neighbour_id"], round(r["cosine"], 5)))
+    assert sorted(got[1100]) == [(1, 7, 1.0), (2, 1000, 1.0), (3, 1001, 1.0)] and sorted(got[7]) == [(1, 1000, 1.0), (2, 1001, 1.0), (3, 1002, 1.0)]
+    want = brute_knn(x.astype(np.float32).astype(float), 3, 0.8)
+    far = [p for p in want if want[p] < 1 and p[0] < 30 and not (x[p[0]] @ x[7] >= 0.8)]
+    assert far and all(any(n == p[1] for _, n, _ in got[p[0]]) for p in far)
+
+
+def test_cells_of_real_vectors(spark):
+    """Cut into many cells, the search finds what brute force finds, and a row goes to few cells at either size."""
+    from cardloom.llm import cells
+    from cardloom.llm.vectors import MODEL_DIMS, latest, matrix, usable
+    from tests.oracle import DATA
+
+    share = {}
+    for sf, cell in (("0.001", 15), ("0.01", 90)):
+        df = spark.read.parquet(f"{DATA}/sf{sf}/embeddings2.parquet")
+        rows = usable(df, MODEL_DIMS)
+        spaces, _ = cells.fit(rows, rows, cell)
+        sent = rows.mapInArrow(neighbours._send(spark.sparkContext.broadcast(spaces), math.sqrt(0.1), 0.99, False), neighbours._SENT)
+        n = {r["side"]: r["count"] for r in sent.groupBy("side").count().collect()}
+        share[sf] = (n[0] + n[1]) / n[0]
+    assert max(len(s.pivots) for s in spaces) >= 20 and share["0.01"] <= 2 and share["0.01"] <= 1.25 * share["0.001"]
+    got = {}
+    for r in neighbours.nearest(df, 10, query=F.col("note_id") % 20 == 0, dims=MODEL_DIMS, cell=90).collect():
+        got.setdefault((r["model"], r["note_id"]), set()).add(r["neighbour_id"])
+    recall = []
+    for model, part in rows.toPandas().groupby("model"):
+        import pyarrow as pa
+
+        x, ids, at = matrix(pa.array(part["vec"].tolist(), pa.list_(pa.float32()))), part["note_id"].to_numpy(), part["updated_at"].to_numpy()
+        keep = latest(ids, at, x)
+        x, ids = x[keep], ids[keep]
+        for i in np.flatnonzero(ids % 20 == 0):
+            sim = x @ x[i]
+            sim[i] = -2
+            recall.append(len(got[(model, ids[i])] & set(ids[np.argsort(-sim)[:10]].tolist())) / 10)
+    assert len(recall) > 100 and np.mean(recall) >= 0.99
+
+
 # p5 -----------------------------------------------------------------------------------------------
 
 
