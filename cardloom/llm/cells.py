@@ -24,8 +24,8 @@ from cardloom.llm.vectors import matrix
 #: Vectors per model that pivots are fitted on, and pivots of a model at most (before hot cells are split).
 SAMPLE, PIVOTS = 40_000, 4_096
 
-#: Distinct vectors of a cell (by the sample's estimate) from which it is split by pivots of its own, and of a part at least.
-HOT, PART = 40_000, 400
+#: Distinct vectors of a cell (by the sample's estimate) from which it is split by pivots of its own, into parts of at least a hundredth.
+HOT = 40_000
 
 
 @dataclass
@@ -77,9 +77,9 @@ def fit_pivots(x: np.ndarray, n: int, seed: int = 23) -> np.ndarray:
     return c[np.unique(homes(x, c))]
 
 
-def split_hot(x: np.ndarray, c: np.ndarray, each: float, hot: int, part: int) -> np.ndarray:
+def split_hot(x: np.ndarray, c: np.ndarray, each: float, hot: int) -> np.ndarray:
     """Pivots c, those of cells above `hot` replaced by several; a vector of the sample x stands for `each`."""
-    x = distinct(x)
+    x, part = distinct(x), max(4, hot // 100)
     while True:
         at = homes(x, c)
         size = np.bincount(at, minlength=len(c)) * each
@@ -91,7 +91,7 @@ def split_hot(x: np.ndarray, c: np.ndarray, each: float, hot: int, part: int) ->
         c = c[np.unique(homes(x, c))]
 
 
-def fit(rows: DataFrame, keys: DataFrame, cell: int, sample: int = SAMPLE, hot: int = HOT, part: int = PART) -> tuple[list[Space], int]:
+def fit(rows: DataFrame, keys: DataFrame, cell: int, sample: int = SAMPLE, hot: int = HOT) -> tuple[list[Space], int]:
     """Spaces of all models of rows (model, note_id, vec) with a pivot for every `cell` rows, and how many cells there are.
 
     Pivots are fitted on some `sample` vectors per model, picked by a hash of note_id; keys has a row (model, ...) for each of rows.
@@ -108,7 +108,7 @@ def fit(rows: DataFrame, keys: DataFrame, cell: int, sample: int = SAMPLE, hot:
             x = matrix(drawn["vec"])
             x = x[np.lexsort((digest(x), drawn["note_id"].to_numpy()))]  # whatever order the rows came in
             c = fit_pivots(x, max(1, min(PIVOTS, len(x), round(n / cell))))
-            c = split_hot(x, c, n / len(x), hot, part)
+            c = split_hot(x, c, n / len(x), hot)
         else:
             c = np.ones((1, 1), np.float32)
         spaces.append(Space(model, code, c, tasks))

@@ -1,12 +1,13 @@
 """Clusters of mutually similar vectors: neighbour descent, then communities of high modularity.
 
-1. A bounded sample gives each model pivots, which cut its space into cells. A vector goes to its
-   nearest cell (its home) and, as a guest, to the next one.
+1. A bounded sample gives each model pivots, which cut its space into cells (see cells). A vector goes to its
+   home cell and, as a guest, to the cells where vectors near enough for an edge may lie.
 2. In each cell neighbour descent builds the graph of similar vectors, and modularity-based community
    detection cuts it into pieces.
 3. Pieces of different cells are linked by their guests; the graph of pieces is merged by modularity
    gains in distributed rounds, and so are communities whose mean directions are too near.
-4. Every vector is checked against the mean directions of all communities of its model.
+4. Every vector is tested against the mean direction of its community. Vectors that fail, that have no edge, or
+   whose community stays too small are compared with the mean directions of all communities of their model.
 """
 
 from __future__ import annotations
@@ -19,18 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardloom.llm import cells as S
 from cardloom.llm import graphs as G
-from cardloom.llm.vectors import matrix, usable
+from cardloom.llm.vectors import matrix, newest, some, usable
 from cardloom.shared import cut
 
-#: Vectors per model that pivots are fitted on, rows a cell is planned for, pivots of a model at most.
-SAMPLE, CELL, PIVOTS = 8_000, 4_000, 256
-
-#: Distinct vectors of a cell (by the sample's estimate) from which it is split by pivots of its own, and of a part at least.
-SLICE, TIES = 40_000, 400
+#: Rows a cell is planned for, and the probability with which a pair of an edge's least cosine meets in some cell.
+CELL, CERTAINTY = 4_000, 0.9
 
 #: Neighbours per vector, least cosine of an edge, resolution of the modularity.
-NEIGHBOURS, EDGE, RESOLUTION = 10, 0.55, 1.0
+NEIGHBOURS, EDGE, RESOLUTION = 12, 0.55, 1.0
 
 #: Least length of the mean of a piece's unit vectors, and least cosine of the means of pieces that may join.
 COHERENT, LINK = 0.75, 0.6
@@ -38,78 +37,12 @@ COHERENT, LINK = 0.75, 0.6
 #: Mean directions that are sent to all tasks at once: 200,000 of 64 numbers are some 50 MB.
 MEANS = 200_000
 
+#: A community whose mean has this cosine with another mean has rivals: its notes are compared with all means.
+RIVAL = 0.5
+
 #: Linked rows from which a community may join several others that are near; a smaller one joins the nearest only.
 FIRM = 3
 
-#: Superseded or repeated keys up to which they are broadcast; more are joined by a shuffle.
-FEW_KEYS = 500_000
-
-
-@dataclass
-class Space:
-    """Pivots of one model, and the task of its first cell."""
-
-    model: str
-    code: int
-    pivots: np.ndarray
-    base: int
-
-
-def _digest(x: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each unit row, the same for the same direction to six digits."""
-    odd = np.random.default_rng(71).integers(-(2**62), 2**62, x.shape[1]) | 1
-    return (np.round(x.astype(np.float64) * 1e6).astype(np.int64) * odd).sum(1)
-
-
-def _distinct(x: np.ndarray) -> np.ndarray:
-    return x[np.sort(np.unique(_digest(x), return_index=True)[1])]
-
-
-def _pivots(x: np.ndarray, n: int, seed: int = 23) -> np.ndarray:
-    """Spherical k-means over the distinct vectors; at most n pivots, each different and nearest to some vector."""
-    x = _distinct(x)
-    rng = np.random.default_rng([seed, len(x)])
-    c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
-    for _ in range(8):
-        at = np.argmax(x @ c.T, 1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        norm = np.sqrt((sums**2).sum(1))
-        c = np.where(norm[:, None] > 1e-6, sums / np.maximum(norm, 1e-6)[:, None], c)
-    c = _distinct(c.astype(np.float32))
-    return c[np.unique(np.argmax(x @ c.T, 1))]
-
-
-def _split(x: np.ndarray, c: np.ndarray, each: float) -> np.ndarray:
-    """Pivots c, those of cells above SLICE replaced by several; a vector of the sample x stands for `each`."""
-    x = _distinct(x)
-    while True:
-        at = np.argmax(x @ c.T, 1)
-        size = np.bincount(at, minlength=len(c)) * each
-        parts = {i: _pivots(x[at == i], max(2, min(int(np.ceil(2 * size[i] / SLICE)), int(size[i] // TIES)))) for i in np.flatnonzero(size > SLICE)}
-        parts = {i: p for i, p in parts.items() if len(p) > 1}
-        if not parts:
-            return c
-        c = _distinct(np.concatenate([np.delete(c, list(parts), 0), *parts.values()]))
-        c = c[np.unique(np.argmax(x @ c.T, 1))]
-
-
-def _spaces(rows: DataFrame, sample: int, cell: int) -> tuple[list[Space], int]:
-    counts = sorted((r["model"], r["n"]) for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect())  # a row per model
-    share = F.lit(0.0)
-    for model, n in counts:
-        share = F.when(F.col("model") == model, min(1.0, sample / n)).otherwise(share)
-    taken = rows.where(F.pmod(F.xxhash64("note_id", F.lit(97)), F.lit(1_000_000)) < share * 1_000_000).select("model", "note_id", "vec").orderBy("model", "note_id", "vec").toArrow()
-    spaces, tasks = [], 0
-    for code, (model, n) in enumerate(counts):
-        part = taken.filter(pa.compute.equal(taken["model"], model))
-        x = matrix(part["vec"]) if part.num_rows else np.empty((0, 1), np.float32)
-        c = _pivots(x, max(1, min(PIVOTS, len(x), round(n / cell)))) if len(x) else np.ones((1, 1), np.float32)
-        c = _split(x, c, n / len(x)) if len(x) else c
-        spaces.append(Space(model, code, c, tasks))
-        tasks += len(c)
-    return spaces, tasks
-
 
 _SENT = "task int, code int, home boolean, note_id long, copies array<long>, vec array<float>"
 
@@ -118,8 +51,12 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
 
 
-def _send(spaces):
-    """Rows to their home cell and to the next nearest; notes of equal vectors in a batch are one row."""
+def _vectors(x: np.ndarray) -> pa.Array:
+    return _lists(x.ravel(), np.full(len(x), x.shape[1]))
+
+
+def _send(spaces, distance: float, certainty: float):
+    """Rows to their home cell and to those that a pair of this distance may meet in; notes of equal vectors in a batch are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_name = {s.model: s for s in spaces.value}
@@ -131,23 +68,22 @@ def _send(spaces):
                 part = b.take(pa.array(rows))
                 x = matrix(part.column("vec"))
                 ids = part.column("note_id").to_numpy(zero_copy_only=False)
-                key = _digest(x)
+                key = S.digest(x)
                 by = np.lexsort((ids, key))
                 head = np.ones(len(by), bool)
                 head[1:] = key[by][1:] != key[by][:-1]
-                x, note, others = x[by[head]], ids[by[head]], ids[by[~head]]
-                counts = np.diff(np.append(np.flatnonzero(head), len(by))) - 1
-                near = x @ space.pivots.T
-                first = np.argmax(near, 1)
-                sent = [(first, True)]
-                if len(space.pivots) > 1:
-                    near[np.arange(len(note)), first] = -2
-                    sent.append((np.argmax(near, 1), False))
-                for cell, home in sent:
-                    k = len(note)
-                    vec = _lists(x.ravel(), np.full(k, x.shape[1]))
-                    columns = [pa.array((space.base + cell).astype(np.int32)), pa.array(np.full(k, space.code, np.int32)), pa.array(np.full(k, home)), pa.array(note), _lists(others, counts), vec]
-                    yield pa.RecordBatch.from_arrays(columns, names=["task", "code", "home", "note_id", "copies", "vec"])
+                x, note, others = x[by[head]], ids[by[head]], pa.array(ids[by[~head]])
+                starts = np.append(np.flatnonzero(head), len(by))
+                copies = pa.ListArray.from_arrays(pa.array((starts - np.arange(len(starts))).astype(np.int32)), others)
+                start = 0
+                for home, i, j in S.visits(x, space, S.reach(distance, x.shape[1], certainty) / 2):
+                    own = np.arange(start, start + len(home))
+                    start += len(home)
+                    for cell, rows, at_home in ((home, own, True), (j, i, False)):
+                        if len(rows):
+                            n = len(rows)
+                            columns = [pa.array((space.base + cell).astype(np.int32)), pa.array(np.full(n, space.code, np.int32)), pa.array(np.full(n, at_home)), pa.array(note[rows]), copies.take(pa.array(rows)), _vectors(x[rows])]
+                            yield pa.RecordBatch.from_arrays(columns, names=["task", "code", "home", "note_id", "copies", "vec"])
 
     return run
 
@@ -158,8 +94,9 @@ _PIECES = "kind int, code int, note_id long, piece long, weight double, task int
 def _cell(batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa.RecordBatch]:
     """Graph and pieces of one cell.
 
-    kind 0: a home row with its piece and weighted degree; kind 1: a guest of a
-    piece with the weight of its edges to it; kind 2: a piece with its home rows and their vector sum.
+    kind 0: a home row with its piece, weighted degree and vector; kind 1: a guest of a
+    piece with the weight of its edges to it; kind 2: a piece with its home rows and their vector sum;
+    kind 4: a home row without an edge, with its vector.
     With edges, kind 3: a note, as `piece` a neighbour in the cell and the weight of their edge; copies of the
     note count as one edge to itself. A piece is named by its smallest home note_id. Notes of equal vectors are one node of the graph, which
     counts as often in numbers and sums; without other edges they are a piece of their own.
@@ -173,22 +110,18 @@ def _cell(batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa
     notes = np.concatenate([t["note_id"].to_numpy(), copies.flatten().to_numpy(zero_copy_only=False)])
     at_home = t["home"].to_numpy(zero_copy_only=False)[row]
     x = matrix(t["vec"])
-    by = np.lexsort((_digest(x)[row], ~at_home, notes))
+    by = np.lexsort((S.digest(x)[row], ~at_home, notes))
     first = np.ones(len(by), bool)
     first[1:] = notes[by][1:] != notes[by][:-1]
     by = by[first]  # a note once, as home row if it is one
     row, notes, at_home = row[by], notes[by], at_home[by]
-    _, one, node_of = np.unique(_digest(x)[row], return_index=True, return_inverse=True)
+    _, one, node_of = np.unique(S.digest(x)[row], return_index=True, return_inverse=True)
     x, ids, n = x[row[one]], notes[one], len(one)  # notes ascend, so ids has the smallest of each node
     home = np.bincount(node_of, at_home, n) > 0
     times = np.bincount(node_of, minlength=n)
     code, task = t["code"][0].as_py(), t["task"][0].as_py()
-    if n < 2 and times[0] < 2:
-        return
     empty = np.empty(0, np.int64)
     a, b, w = G.graph(*G.neighbour_descent(x, min(NEIGHBOURS, n - 1)), EDGE) if n > 1 else (empty, empty, np.empty(0))
-    if not len(a) and times.max() < 2:
-        return
     label = G.coherent_communities(x, a, b, w, RESOLUTION, COHERENT)
     m = int(label.max()) + 1
     big = np.iinfo(np.int64).max
@@ -216,7 +149,12 @@ def _cell(batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa
 
     none = lambda k: pa.nulls(k, pa.list_(pa.float32()))
     zero = np.zeros
-    yield rows(0, notes[node], name[label[of]], degree[of], zero(len(node)), none(len(node)))
+    for k in range(0, len(node), 10_000):
+        part, at = node[k : k + 10_000], of[k : k + 10_000]
+        yield rows(0, notes[part], name[label[at]], degree[at], zero(len(part)), _vectors(x[at]))
+    lone = np.flatnonzero((home & (degree <= 0))[node_of])
+    if len(lone):
+        yield rows(4, notes[lone], notes[lone], zero(len(lone)), zero(len(lone)), _vectors(x[node_of[lone]]))
     yield rows(1, ids[visitor], name[label[visitor]], link[visitor], zero(len(visitor)), none(len(visitor)))
     total = np.bincount(label[members], degree[members], m)
     vec = pa.array([s.astype(np.float32) for s in sums[pieces]], pa.list_(pa.float32()))
@@ -235,18 +173,19 @@ def _cell(batches: Iterator[pa.RecordBatch], edges: bool = False) -> Iterator[pa
     yield rows(3, notes[more], notes[more], np.minimum(times[node_of[more]] - 1, NEIGHBOURS), zero(len(more)), none(len(more)))
 
 
-def merge_by_modularity(nodes: DataFrame, edges: DataFrame, resolution: float, most_rounds: int = 12) -> DataFrame:
+def merge_by_modularity(nodes: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
     """(code, piece, root): pieces joined while it raises modularity.
 
     nodes: (code, piece, weight), the degree of each; edges: (code, a, b, weight), both directions.
     In a round each node has its best partner by gain; where two are each other's best, the smaller is
-    head, and whoever prefers one of the two joins it. Rounds go over the shrinking graph of roots.
+    head, and whoever prefers one of the two joins it. Rounds go over the shrinking graph of roots, until no
+    pair gains: the best pair of all always merges.
     """
     spark: SparkSession = nodes.sparkSession
     twice = nodes.groupBy("code").agg(F.sum("weight").alias("total"))
     root = nodes.select("code", "piece", F.col("piece").alias("root"))
     nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")
-    for _ in range(most_rounds):
+    while True:
         ka = nodes.select("code", F.col("piece").alias("a"), F.col("weight").alias("ka"))
         kb = nodes.select("code", F.col("piece").alias("b"), F.col("weight").alias("kb"))
         gains = edges.join(ka, ["code", "a"]).join(kb, ["code", "b"]).join(F.broadcast(twice), "code")  # a row per model
@@ -309,16 +248,65 @@ def _near(rows: DataFrame, means: DataFrame, least: float) -> DataFrame:
 
     Exact: all means of a code are compared, MEANS of them at a time.
     """
-    spark = rows.sparkSession
+    out = rows.sparkSession.createDataFrame([], _NEAR)
+    for _, shared in _blocks(means):
+        out = out.unionByName(rows.select("code", "id", "vec").mapInArrow(_compare(shared, least), _NEAR))
+    return out
+
+
+def _own(shared):
+    """Rows (code, id, root, vec) against the mean of their own root: with their cosine, and without vec."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means = shared.value
+        for batch in batches:
+            codes, mine = batch.column("code").to_numpy(zero_copy_only=False), batch.column("root").to_numpy(zero_copy_only=False)
+            cos = np.full(len(codes), -2.0)
+            for code in np.unique(codes):
+                roots, c = means[code]
+                by = np.argsort(roots)
+                rows = np.flatnonzero(codes == code)
+                x, at = matrix(batch.column("vec").take(pa.array(rows))), by[np.searchsorted(roots, mine[rows], sorter=by)]
+                for k in range(0, len(rows), 65536):
+                    cos[rows[k : k + 65536]] = np.einsum("ij,ij->i", x[k : k + 65536].astype(np.float64), c[at[k : k + 65536]].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("id"), batch.column("root"), pa.array(cos)], names=["code", "id", "root", "cosine"])
+
+    return run
+
+
+def _blocks(means: DataFrame):
+    """(condition on root, broadcast of the means) for blocks of some MEANS means."""
+    spark = means.sparkSession
     blocks = max(1, -(-means.count() // MEANS))
-    out = spark.createDataFrame([], _NEAR)
     for block in range(blocks):
-        t = means.where(F.pmod(F.xxhash64("root"), F.lit(blocks)) == block).select("code", "root", F.col("vec").cast("array<float>").alias("vec")).toArrow()  # some MEANS rows
+        here = F.pmod(F.xxhash64("root"), F.lit(blocks)) == block
+        t = means.where(here).select("code", "root", F.col("vec").cast("array<float>").alias("vec")).toArrow()  # some MEANS rows
         codes = t["code"].to_numpy()
         parts = {int(code): t.take(pa.array(np.flatnonzero(codes == code))) for code in np.unique(codes)}
-        shared = spark.sparkContext.broadcast({code: (part["root"].to_numpy(), matrix(part["vec"])) for code, part in parts.items()})
-        out = out.unionByName(rows.select("code", "id", "vec").mapInArrow(_compare(shared, least), _NEAR))
-    return out
+        yield here, spark.sparkContext.broadcast({code: (part["root"].to_numpy(), matrix(part["vec"])) for code, part in parts.items()})
+
+
+def _members(pieces: DataFrame, roots: DataFrame, means: DataFrame, least: float, least_size: int) -> DataFrame:
+    """(code, note_id, root, cosine): the notes of every community that have the least cosine to its mean, and where
+    that is no home for a note the communities of its model that would be.
+
+    A community of least_size such notes and without a rival keeps them. All other notes are compared with all means.
+    """
+    rows = pieces.where("kind = 0").join(some(roots), ["code", "piece"]).select("code", F.col("note_id").alias("id"), "root", "vec")
+    tested = None
+    for here, shared in _blocks(means):
+        part = rows.where(here).mapInArrow(_own(shared), _NEAR)
+        tested = part if tested is None else tested.unionByName(part)
+    tested = cut(tested, "tested")
+    large = tested.where(F.col("cosine") >= least).groupBy("code", "root").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select("code", "root")
+    rivals = _near(means.withColumnRenamed("root", "id"), means, RIVAL).where("id <> root").select("code", F.col("id").alias("root")).distinct()
+    firm = cut(large.join(rivals, ["code", "root"], "left_anti"), "firm")
+    kept = tested.where(F.col("cosine") >= least).join(some(firm), ["code", "root"], "left_semi")
+    away = tested.join(some(firm), ["code", "root"], "left_anti").unionByName(tested.join(some(firm), ["code", "root"], "left_semi").where(F.col("cosine") < least)).select("code", "id")
+    away = some(cut(away, "away"))
+    loose = pieces.where("kind = 0").select("code", F.col("note_id").alias("id"), "vec").join(away, ["code", "id"], "left_semi").unionByName(pieces.where("kind = 4").select("code", F.col("note_id").alias("id"), "vec"))
+    found = kept.select("code", "id", "root", "cosine").unionByName(_near(loose, means, least))
+    return found.withColumnRenamed("id", "note_id")
 
 
 def _settled(hits: DataFrame, least_size: int) -> DataFrame:
@@ -351,24 +339,18 @@ class Found:
     names: DataFrame
 
 
-def _current(rows: DataFrame) -> DataFrame:
-    """rows without superseded ones; copies of equal updated_at stay."""
-    keys = cut(rows.groupBy("model", "note_id").agg(F.count("*").alias("c"), F.max("updated_at").alias("newest")).where("c > 1").select("model", "note_id", "newest"), "repeated")
-    few = keys.count() <= FEW_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, ["model", "note_id"], "left").where("newest is null or updated_at = newest").select("model", "note_id", "updated_at", "vec")
-
-
-def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: float = 0.7, least_size: int = 8, dims: dict[str, int] | None = None, sample: int = SAMPLE, cell: int = CELL, edges: bool = False) -> Found | None:
+def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: float = 0.7, least_size: int = 8, dims: dict[str, int] | None = None, sample: int = S.SAMPLE, cell: int = CELL, hot: int = S.HOT, edges: bool = False) -> Found | None:
     """Clusters of each model: see clusters() for the result and the defined cases; None for an empty table. edges: pieces have the edges too."""
     spark, keep_edges = vectors.sparkSession, edges
-    rows = _current(usable(vectors, dims))
-    spaces, tasks = _spaces(rows, sample, cell)
+    known = usable(vectors, dims)
+    rows, _, every = newest(known)
+    spaces, tasks = S.fit(known, every, cell, sample, hot)
     if not tasks:
         return None
     shared = spark.sparkContext.broadcast(spaces)
-    sent = rows.mapInArrow(_send(shared), _SENT)
+    sent = rows.select("model", "note_id", "vec").mapInArrow(_send(shared, float(np.sqrt(2 - 2 * EDGE)), CERTAINTY), _SENT)
     pieces = cut(sent.repartitionById(tasks, "task").mapInArrow(lambda batches: _cell(batches, keep_edges), _PIECES), "pieces")
-    node = pieces.where("kind = 0").groupBy("code", "note_id").agg(F.min("piece").alias("piece"))
+    node = pieces.where("kind = 0").select("code", "note_id", "piece")
     guest = pieces.where("kind = 1").select("code", "note_id", F.col("piece").alias("other"), "weight")
     half = guest.join(node, ["code", "note_id"]).where("piece <> other").groupBy("code", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b")).agg(F.sum("weight").alias("weight"))
     half = _alike(half, pieces.where("kind = 2").select("code", "piece", "vec"), LINK)
@@ -380,8 +362,7 @@ def similarity_clusters(vectors: DataFrame, least_cosine: float = 0.74, apart: f
     sums = _sum_vectors(pieces.where("kind = 2").join(roots, ["code", "piece"]), ["code", "root"], dim)
     means = cut(sums.select("code", "root", "vec"), "means")
     names = spark.createDataFrame([(s.code, s.model) for s in spaces], "code int, model string")
-    coded = rows.join(F.broadcast(names), "model").select("code", F.col("note_id").alias("id"), "vec")  # a row per model
-    one = _settled(cut(_near(coded, means, least_cosine).withColumnRenamed("id", "note_id"), "checked"), least_size)
+    one = _settled(cut(_members(pieces, roots, means, least_cosine, least_size), "checked"), least_size)
     ok = one.groupBy("code", "root").agg(F.count("*").alias("size"), F.min("note_id").alias("cluster_id"))
     members = one.join(ok, ["code", "root"]).join(F.broadcast(names), "code")  # a row per model
     return Found(members, pieces, roots, names)

@@ -60,7 +60,7 @@ def _reverse(ids: np.ndarray, width: int, rng: np.random.Generator) -> np.ndarra
     return out
 
 
-def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 6, tries: int = 24, enough: float = 0.01, leaf: int = 128, trees: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12, tries: int = 32, enough: float = 0.005, leaf: int = 128, trees: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cosines), n x k: approximate nearest neighbours of each row; -1 where there are fewer.
 
     Lists start from random kd-trees, several so that no leaf is closed; then every row tries neighbours of its neighbours, in both directions, until
@@ -105,12 +105,11 @@ def graph(ids: np.ndarray, cos: np.ndarray, least: float) -> tuple[np.ndarray, n
     return lo[first], hi[first], w[first]
 
 
-def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int = 3, rounds: int = 16, settled: float = 0.15) -> np.ndarray:
+def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int = 3) -> np.ndarray:
     """Label per node: local moves by modularity gain, then the same over the communities, until nothing moves.
 
     In a round a random half of the nodes moves at once, each to the neighbouring community of the
-    greatest gain; of equal gains the smallest label. A level ends when fewer than `settled` of its nodes
-    would move.
+    greatest gain; of equal gains the smallest label. A level ends when no node would move.
     """
     rng = np.random.default_rng([seed, n])
     label = np.arange(n)
@@ -124,7 +123,8 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
         com = np.arange(size)
         src, dst, ww = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
         moved_ever = False
-        for r in range(rounds):
+        share = 0.5
+        while share > 1e-6:
             mass = np.bincount(com, degree, size)
             key = src * size + com[dst]
             uniq, at = np.unique(key, return_inverse=True)
@@ -142,12 +142,13 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
             go = (gain[best] > stay[v] + 1e-12) & (t != com[v])
             if not go.any():
                 break
-            moves = go & (rng.random(len(v)) < 0.5)
-            if moves.any():
-                com[v[moves]] = t[moves]
-                moved_ever = True
-            if go.sum() < size * settled:
-                break
+            # moves at once may undo each other's gain, so ever fewer are made at once
+            moves = go & (rng.random(len(v)) < share)
+            share *= 0.97
+            if not moves.any():
+                moves[np.argmax(go)] = True
+            com[v[moves]] = t[moves]
+            moved_ever = True
         if not moved_ever:
             break
         names, com = np.unique(com, return_inverse=True)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm import cells as S
 from cardloom.llm import projections as P
-from cardloom.llm.vectors import matrix, usable
+from cardloom.llm.vectors import MARKS, matrix, newest, some, usable
 from cardloom.shared import cut
 
 SCHEMA = "model string, note_id long, neighbour_id long, cosine double"
@@ -31,9 +31,6 @@ CELL = 8_000
 #: Candidates kept per row beyond k, so that ties within float32 precision are settled in float64.
 SPARE = 5
 
-#: Repeated keys or crowded vectors up to which they are broadcast; more are joined by a shuffle.
-FEW_KEYS = 500_000
-
 _SENT = "task int, code int, side int, note_id long, floor float, vec array<float>"
 _FIRST = "asks boolean, code int, model string, note_id long, neighbour_id long, cosine double, vec array<float>"
 
@@ -189,41 +186,29 @@ def _further(shared, certainty: float):
     return run
 
 
-def _some(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= FEW_KEYS else rows
-
-
-def _searched(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def _searched(known: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(rows to search, sure hits, keys of all rows): the newest row of each note, and of equal vectors the k + 1 smallest note_ids.
 
-    Every further copy has k neighbours of cosine 1 already: the k smallest ids. Vectors are equal if their numbers are, by 128-bit digests.
+    Every further copy has k neighbours of cosine 1 already: the k smallest ids. Vectors are equal if their numbers are.
     """
-    marks = [F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2")]
-    version = F.struct("updated_at", "h1", "h2")
-    marked = rows.select("model", "note_id", "updated_at", "vec", *marks)
-    keys = cut(marked.drop("vec"), "keys")
-    repeated = cut(keys.groupBy("model", "note_id").agg(F.count("*").alias("c"), F.max(version).alias("best")).where("c > 1").select("model", "note_id", "best"), "repeated")
-    few = _some(repeated)
-    newest = lambda df: df.join(few, ["model", "note_id"], "left").where(F.col("best").isNull() | (version == F.col("best"))).drop("best")
-    searched = newest(marked)
-    often = cut(keys.groupBy("model", "h1", "h2").agg(F.count("*").alias("c")).where(F.col("c") > k + 1).select("model", "h1", "h2"), "often")
+    rows, keys, every = newest(known)
+    often = cut(every.groupBy("model", *MARKS).agg(F.count("*").alias("c")).where(F.col("c") > k + 1).select("model", *MARKS), "often")
     if often.isEmpty():
-        return searched.select("model", "note_id", "vec"), None, keys
-    copies = cut(newest(keys).join(_some(often), ["model", "h1", "h2"]).select("model", "h1", "h2", "note_id").distinct(), "copies")
-    place = F.row_number().over(Window.partitionBy("model", "h1", "h2").orderBy("note_id"))
-    first = copies.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("model", "h1", "h2").agg(F.sort_array(F.collect_list("note_id")).alias("ids")).where(F.size("ids") == k + 1)
-    first = cut(first.select("model", "h1", "h2", "ids", F.element_at("ids", -1).alias("last")), "crowded")
-    crowded = _some(first)
-    searched = searched.join(crowded.select("model", "h1", "h2", "last"), ["model", "h1", "h2"], "left").where("last is null or note_id <= last")
-    sure = copies.join(crowded, ["model", "h1", "h2"]).where("note_id > last").select("model", "note_id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"), F.lit(1.0).alias("cosine"))
-    return searched.select("model", "note_id", "vec"), sure, keys
+        return rows.select("model", "note_id", "vec"), None, every
+    copies = cut(keys.join(some(often), ["model", *MARKS]).select("model", *MARKS, "note_id").distinct(), "copies")
+    place = F.row_number().over(Window.partitionBy("model", *MARKS).orderBy("note_id"))
+    first = copies.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("model", *MARKS).agg(F.sort_array(F.collect_list("note_id")).alias("ids")).where(F.size("ids") == k + 1)
+    crowded = some(cut(first.select("model", *MARKS, "ids", F.element_at("ids", -1).alias("last")), "crowded"))
+    rows = rows.join(crowded.select("model", *MARKS, "last"), ["model", *MARKS], "left").where("last is null or note_id <= last")
+    sure = copies.join(crowded, ["model", *MARKS]).where("note_id > last").select("model", "note_id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"), F.lit(1.0).alias("cosine"))
+    return rows.select("model", "note_id", "vec"), sure, every
 
 
 def nearest(vectors: DataFrame, k: int, min_cosine: float | None = None, query: Column | None = None, dims: dict[str, int] | None = None, certainty: float = CERTAINTY, cell: int = CELL) -> DataFrame:
     """(model, note_id, neighbour_id, cosine, place): the k most similar other notes of each note, per model.
 
     Only usable vectors count (see vectors.usable), of each (note_id, model) the newest, of equally new
-    ones any one. min_cosine bounds the search: less similar notes are no neighbours. query, a condition
+    ones that of the greatest digest. min_cosine bounds the search: less similar notes are no neighbours. query, a condition
     on note_id, picks the notes searched for; neighbours come from all. certainty is the probability with
     which a test keeps a true neighbour. place runs from 1 by falling cosine, then by note_id; of more
     than k notes equally similar within float32 precision any may be kept, of equal vectors those of the

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.shared import cut
+
 #: Numbers per vector of each model.
 MODEL_DIMS = {"quill-embed-8b": 64, "tern-embed-2": 64, "finch-300m": 48}
 
@@ -32,6 +34,31 @@ def usable(vectors: DataFrame, dims: dict[str, int] | None = None) -> DataFrame:
     return rows.where(F.size("vec") == want).where(total.isNotNull() & ~F.isnan(total) & (total < float("inf")) & (total > 0))
 
 
+#: Rows up to which a table of keys is broadcast; more are joined by a shuffle.
+FEW_KEYS = 500_000
+
+MARKS = ["h1", "h2"]
+
+
+def some(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= FEW_KEYS else rows
+
+
+def newest(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, keys, all keys): the newest row of each (model, note_id), with 128-bit digests (h1, h2) of its numbers.
+
+    Of equally new rows the one of the greatest digest; rows that repeat it stay. keys are the rows without
+    vec, all keys those of superseded rows too; both are written. Only the repeated keys are joined to the vectors.
+    """
+    marked = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64("vec", F.lit(1))})
+    version = F.struct("updated_at", *MARKS)
+    every = cut(marked.drop("vec"), "keys")
+    repeated = cut(every.groupBy("model", "note_id").agg(F.count("*").alias("c"), F.max(version).alias("best")).where("c > 1").select("model", "note_id", "best"), "repeated")
+    few = some(repeated)
+    last = lambda df: df.join(few, ["model", "note_id"], "left").where(F.col("best").isNull() | (version == F.col("best"))).drop("best")
+    return last(marked), last(every), every
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """List column of equal lengths as unit rows in float32."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cardloom.llm import clusters, graphs, lookalikes, mixing, nearcopies, neighbours, packing, tokens
+from cardloom.llm import cells, clusters, graphs, lookalikes, mixing, nearcopies, neighbours, packing, tokens
 from cardloom.llm import projections as P
 
 VEC = "note_id long, backend string, model string, dim int, vec array<float>, norm double, hash string, updated_at long"
@@ -68,12 +68,10 @@ def test_clusters_found(spark):
     assert clusters.clusters(df.limit(0), dims={"m": 16}).count() == 0
 
 
-def test_sliced_cell_stays_one_cluster(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "SLICE", 150)
-    monkeypatch.setattr(clusters, "TIES", 60)
+def test_split_cell_stays_one_cluster(spark):
     x = blobs(np.random.default_rng(2), 1, 600)
     df = vectors(spark, [(i, "m", v, 1) for i, v in enumerate(x)])
-    got = clusters.clusters(df, dims={"m": 16}, cell=10_000).collect()
+    got = clusters.clusters(df, dims={"m": 16}, cell=10_000, hot=150).collect()
     assert len({r["cluster_id"] for r in got}) == 1 and len(got) >= 590
 
 
@@ -81,7 +79,7 @@ def test_members_of_far_cells_are_found(spark, monkeypatch):
     """A member alone in a cell that 14 others are nearer to its cluster than."""
     e = np.eye(32)
     pivots = np.stack([e[0], *(0.66 * e[0] + 0.75 * e[k] for k in range(1, 15)), 0.35 * e[0] + 0.94 * e[20]])
-    monkeypatch.setattr(clusters, "_pivots", lambda x, n, seed=23: unit(pivots).astype(np.float32))
+    monkeypatch.setattr(cells, "fit_pivots", lambda x, n, seed=23: unit(pivots).astype(np.float32))
     x = unit(e[0] + 0.02 * np.random.default_rng(6).standard_normal((12, 32)))
     rows = [*x, 0.76 * e[0] + 0.65 * e[20]]
     got = clusters.clusters(vectors(spark, [(i, "m", v, 1) for i, v in enumerate(rows)]), dims={"m": 32}).collect()
@@ -92,34 +90,63 @@ def test_pivots_are_distinct():
     rng = np.random.default_rng(8)
     x = unit(rng.standard_normal((900, 16))).astype(np.float32)
     x[:300] = x[0]
-    c = clusters._pivots(x, 64)
+    c = cells.fit_pivots(x, 64)
     assert len(np.unique(c.round(4), axis=0)) == len(c) >= 50
     assert set(np.argmax(x @ c.T, 1)) == set(range(len(c)))
-    assert len(clusters._pivots(x[:300], 20)) == 1
+    assert len(cells.fit_pivots(x[:300], 20)) == 1
 
 
-def test_small_clusters_of_a_hot_cell(spark, monkeypatch):
+def test_small_clusters_of_a_hot_cell(spark):
     """A cell of 16 small clusters and many copies, far above the rows of one: each cluster stays whole."""
-    monkeypatch.setattr(clusters, "SLICE", 60)
-    monkeypatch.setattr(clusters, "TIES", 4)
     rng = np.random.default_rng(9)
     x = np.concatenate([blobs(rng, 16, 10, 32, 0.06), np.repeat(unit(rng.standard_normal((1, 32))), 150, 0)])
-    got = clusters.clusters(vectors(spark, [(i, "m", v * rng.uniform(0.5, 2), 1) for i, v in enumerate(x)]), dims={"m": 32}, cell=10_000).collect()
+    got = clusters.clusters(vectors(spark, [(i, "m", v * rng.uniform(0.5, 2), 1) for i, v in enumerate(x)]), dims={"m": 32}, cell=10_000, hot=60).collect()
     assert {r["note_id"]: r["cluster_id"] for r in got} == {i: i // 10 * 10 if i < 160 else 160 for i in range(310)}
 
 
+def test_lists_of_all_cells(spark):
+    """Collection-wide recall of the neighbour lists: those of all cells a vector is in, against brute force."""
+    import pyarrow as pa
+
+    from cardloom.llm.vectors import MODEL_DIMS, latest, matrix, usable
+    from tests.oracle import DATA
+
+    part = usable(spark.read.parquet(f"{DATA}/sf0.1/embeddings2.parquet"), MODEL_DIMS).where("model = 'tern-embed-2'").toPandas()
+    x, ids = matrix(pa.array(part["vec"].tolist(), pa.list_(pa.float32()))), part["note_id"].to_numpy()
+    keep = latest(ids, part["updated_at"].to_numpy(), x)
+    x, ids = x[keep], ids[keep]
+    pivots = cells.fit_pivots(x, 24)
+    within = cells.reach(math.sqrt(2 - 2 * clusters.EDGE), x.shape[1], clusters.CERTAINTY) / 2
+    at = [[] for _ in pivots]
+    start = 0
+    for home, i, j in cells.visits(x, cells.Space("m", 0, pivots, 0), within):
+        for c in range(len(pivots)):
+            at[c] += [*(np.flatnonzero(home == c) + start), *i[j == c]]
+        start += len(home)
+    lists = [set() for _ in x]
+    for rows in at:
+        rows = np.array(rows)
+        near, _ = graphs.neighbour_descent(x[rows], clusters.NEIGHBOURS)
+        for i, r in zip(rows, near):
+            lists[i] |= set(rows[r[r >= 0]].tolist())
+    recall = [len(lists[i] & set(np.argsort(-np.where(np.arange(len(x)) == i, -2, x @ x[i]))[:10].tolist())) / 10 for i in np.flatnonzero(ids % 20 == 0)]
+    assert len(recall) > 400 and np.mean(recall) >= 0.9
+
+
 def test_typical_members_of_several_cells(spark, monkeypatch):
     """The degree counts edges of all cells, not only of a note's home."""
     rng = np.random.default_rng(10)
     x = unit(unit(rng.standard_normal(16)) + 0.13 * rng.standard_normal((11, 16))).astype(np.float32)
     pivots = x[:5]
-    monkeypatch.setattr(clusters, "_pivots", lambda x, n, seed=23: pivots)
-    cells = np.argsort(-(x @ pivots.T), 1)[:, :2]
+    monkeypatch.setattr(cells, "fit_pivots", lambda x, n, seed=23: pivots)
+    space = cells.Space("m", 0, pivots, 0)
+    home, guest, cell = next(cells.visits(x, space, cells.reach(math.sqrt(2 - 2 * clusters.EDGE), 16, clusters.CERTAINTY) / 2))
+    seen = [{int(h)} | {int(c) for g, c in zip(guest, cell) if g == i} for i, h in enumerate(home)]
     cos = x.astype(float) @ x.T.astype(float)
-    met = np.array([[i != j and cos[i, j] >= 0.55 and bool(set(cells[i]) & set(cells[j])) for j in range(11)] for i in range(11)])
-    home = np.array([[met[i, j] and cells[i, 0] in cells[j] for j in range(11)] for i in range(11)])
+    met = np.array([[i != j and cos[i, j] >= 0.55 and bool(seen[i] & seen[j]) for j in range(11)] for i in range(11)])
+    at_home = np.array([[met[i, j] and int(home[i]) in seen[j] for j in range(11)] for i in range(11)])
     best = lambda edges: [int(i) for i in np.argsort(-(cos * edges).sum(1), kind="stable")[:3]]
-    assert best(met) != best(home)
+    assert best(met) != best(at_home)
     got = clusters.cluster_report(vectors(spark, [(i, "m", v, 1) for i, v in enumerate(x)]), dims={"m": 16}).collect()
     assert [(r["size"], r["typical_ids"]) for r in got] == [(11, best(met))]
 
@@ -181,7 +208,6 @@ def test_nearest_of_copies(spark):
 
 def test_cells_of_real_vectors(spark):
     """Cut into many cells, the search finds what brute force finds, and a row goes to few cells at either size."""
-    from cardloom.llm import cells
     from cardloom.llm.vectors import MODEL_DIMS, latest, matrix, usable
     from tests.oracle import DATA
 
