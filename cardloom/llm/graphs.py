@@ -7,10 +7,34 @@ import numpy as np
 from cardloom.llm import projections as P
 
 
+def _leaves(x: np.ndarray, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of the leaves of a random tree: a node is cut half-way across the line through two means of some of its rows."""
+    order, starts, stack = np.arange(len(x)), [], [(0, len(x))]
+    while stack:
+        a, b = stack.pop()
+        if b - a <= leaf:
+            starts.append(a)
+            continue
+        rows = order[a:b]
+        some = x[rows[rng.integers(0, b - a, 48)]]
+        u, v = some[0], some[1]
+        for _ in range(2):
+            near = some @ (u - v) > 0
+            if near.all() or not near.any():
+                break
+            u, v = some[near].mean(0), some[~near].mean(0)
+        u, v = u / max(1e-9, float(np.sqrt(u @ u))), v / max(1e-9, float(np.sqrt(v @ v)))
+        # leaves are whole multiples of the leaf size, but for the last
+        mid = max(leaf, (b - a) // 2 // leaf * leaf)
+        order[a:b] = rows[np.argpartition(x[rows] @ (u - v), mid)]
+        stack += [(a + mid, b), (a, a + mid)]
+    return order, np.array([*starts, len(x)])
+
+
 def _first_lists(x: np.ndarray, k: int, rng: np.random.Generator, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random lists to start from: the best of each row's leaf in a random kd-tree."""
+    """Lists to start from: the best of each row's leaf in a random tree."""
     n = len(x)
-    order, starts = P.kd_leaves(x @ rng.standard_normal((x.shape[1], 4)).astype(np.float32), leaf)
+    order, starts = _leaves(x, leaf, rng)
     ids, cos = np.full((n, k), -1, np.int64), np.full((n, k), -2, np.float32)
     full = (len(starts) - 2) * leaf
     blocks = [order[:full].reshape(-1, leaf)] if full else []
@@ -60,11 +84,11 @@ def _reverse(ids: np.ndarray, width: int, rng: np.random.Generator) -> np.ndarra
     return out
 
 
-def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12, tries: int = 32, enough: float = 0.005, leaf: int = 128, trees: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def neighbour_descent(x: np.ndarray, k: int, seed: int = 5, rounds: int = 3, tries: int = 24, enough: float = 0.005, leaf: int = 768, trees: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cosines), n x k: approximate nearest neighbours of each row; -1 where there are fewer.
 
-    Lists start from random kd-trees, several so that no leaf is closed; then every row tries neighbours of its neighbours, in both directions, until
-    a round changes less than `enough` of all entries.
+    Lists start from the leaves of several random trees; then every row tries neighbours of its neighbours, in
+    both directions, until a round changes less than `enough` of all entries.
     """
     rng = np.random.default_rng([seed, len(x)])
     ids, cos = _first_lists(x, k, rng, leaf)
@@ -105,11 +129,44 @@ def graph(ids: np.ndarray, cos: np.ndarray, least: float) -> tuple[np.ndarray, n
     return lo[first], hi[first], w[first]
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers from lo up to hi, pair after pair."""
+    n = hi - lo
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
+
+def _best_moves(active: np.ndarray, begin: np.ndarray, dst: np.ndarray, ww: np.ndarray, com: np.ndarray, degree: np.ndarray, mass: np.ndarray, total: float, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that gain by moving, and where to."""
+    at = _ranges(begin[active], begin[active + 1])
+    place = np.repeat(np.arange(len(active)), begin[active + 1] - begin[active])
+    key = place * len(com) + com[dst[at]]
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    if not len(head):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    link = np.add.reduceat(ww[at][by], head)
+    place, target = key[head] // len(com), key[head] % len(com)
+    node = active[place]
+    own = target == com[node]
+    gain = link - resolution * degree[node] * (mass[target] - np.where(own, degree[node], 0)) / total
+    stay = -resolution * degree[active] * (mass[com[active]] - degree[active]) / total
+    stay[place[own]] = gain[own]
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    most = np.maximum.reduceat(gain, first)
+    # targets ascend within a node: the first of the greatest gains
+    is_best = np.flatnonzero(gain == most[np.searchsorted(first, np.arange(len(gain)), "right") - 1])
+    best = is_best[np.unique(place[is_best], return_index=True)[1]]
+    ok = (gain[best] > stay[place[best]] + 1e-12) & ~own[best]
+    return node[best[ok]], target[best[ok]]
+
+
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int = 3) -> np.ndarray:
     """Label per node: local moves by modularity gain, then the same over the communities, until nothing moves.
 
     In a round a random half of the nodes moves at once, each to the neighbouring community of the
-    greatest gain; of equal gains the smallest label. A level ends when no node would move.
+    greatest gain; of equal gains the smallest label. The next round looks at their neighbours and at those
+    that did not come to move. A level ends when no node of all would move.
     """
     rng = np.random.default_rng([seed, n])
     label = np.arange(n)
@@ -122,33 +179,28 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
             break
         com = np.arange(size)
         src, dst, ww = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-        moved_ever = False
-        share = 0.5
-        while share > 1e-6:
-            mass = np.bincount(com, degree, size)
-            key = src * size + com[dst]
-            uniq, at = np.unique(key, return_inverse=True)
-            link = np.bincount(at, ww)
-            node, target = uniq // size, uniq % size
-            own = target == com[node]
-            others = mass[target] - np.where(own, degree[node], 0)
-            gain = link - resolution * degree[node] * others / total
-            stay = -resolution * degree * (mass[com] - degree) / total
-            stay[node[own]] = gain[own]
-            by = np.lexsort((target, -gain, node))
-            first = np.unique(node[by], return_index=True)[1]
-            best = by[first]
-            v, t = node[best], target[best]
-            go = (gain[best] > stay[v] + 1e-12) & (t != com[v])
-            if not go.any():
-                break
-            # moves at once may undo each other's gain, so ever fewer are made at once
-            moves = go & (rng.random(len(v)) < share)
-            share *= 0.97
+        by = np.argsort(src, kind="stable")
+        dst, ww = dst[by], ww[by]
+        begin = np.searchsorted(src[by], np.arange(size + 1))
+        mass = degree.copy()
+        moved_ever, share, whole, active = False, 0.5, True, np.arange(size)
+        while True:
+            v, t = _best_moves(active, begin, dst, ww, com, degree, mass, total, resolution)
+            if not len(v):
+                if whole:
+                    break
+                whole, active = True, np.arange(size)
+                continue
+            # moves at once may undo each other's gain, so fewer are made at once later on
+            moves = rng.random(len(v)) < share
+            share = max(share * 0.97, 0.1)
             if not moves.any():
-                moves[np.argmax(go)] = True
-            com[v[moves]] = t[moves]
+                moves[rng.integers(len(v))] = True
+            go, to = v[moves], t[moves]
+            mass += np.bincount(to, degree[go], size) - np.bincount(com[go], degree[go], size)
+            com[go] = to
             moved_ever = True
+            whole, active = False, np.unique(np.concatenate([v[~moves], dst[_ranges(begin[go], begin[go + 1])]]))
         if not moved_ever:
             break
         names, com = np.unique(com, return_inverse=True)
