@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 #: A word of more sets than this is a key only together with another.
 FREQUENT = 100
 
-#: Notes of one class up to which every pair of them is a row; of larger classes each note is paired with the smallest.
+#: Notes with one text up to which every pair of them is a row; of a text with more each note is paired with the smallest.
 COPIES = 50
 
 
@@ -60,25 +60,27 @@ def _hash(word: str) -> int:
 def _word_sets(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sets, rows = [], [], []
+            keys, texts, sets, rows = [], [], [], []
             for i, value in enumerate(b.column("value").to_pylist()):
-                found = words(value)
+                text = visible(value)
+                found = set(_WORD.findall(text.lower()))
                 if len(found) < least:
                     continue
                 w = np.array(sorted(map(_hash, found)), np.int64)
                 rows.append(i)
                 sets.append(w)
                 keys.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
+                texts.append(xxhash.xxh64_intdigest(" ".join(text.split()).encode("utf-8", "surrogatepass")) - (1 << 63))
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "key", "words"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array(texts, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "key", "text", "words"])
 
     return run
 
 
 def word_sets(records: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(id, key, words): the distinct words of each text with at least so many, as sorted 64-bit hashes; key digests them."""
+    """(id, key, text, words): the distinct words of each text with at least so many, as sorted 64-bit hashes; key digests them, text the visible text."""
     rows = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("value")).where("id is not null and value is not null").where(F.length("value") >= 2 * least - 1)
-    return rows.mapInArrow(_word_sets(least), "id long, key binary, words array<long>")
+    return rows.mapInArrow(_word_sets(least), "id long, key binary, text long, words array<long>")
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -198,20 +200,22 @@ def near_copies(records: DataFrame, key: str, text: str, percent: int, least: in
     Words are runs of letters and digits, lower-cased, of the visible text. An id may have several texts,
     repeated rows count once, an id is never its own partner. Null ids and texts are left out, an empty
     table gives no rows, other columns are ignored; whole texts are read.
-    Ids with the same words form a class. All their pairs are rows up to `copies` ids; in a larger class
-    every id is paired with the smallest one, which also stands for the class in pairs with others. So
-    no link between different texts is lost, and the rows stay in proportion to the copies.
+    Ids with the same words form a class, and those with the same visible text a group of copies in it. Ids of
+    a group of up to `copies` stand for themselves; of a larger group the smallest stands for all, and every
+    other one has a row with it. All pairs of ids that stand in one class, or in two similar ones, are rows.
+    So no link between different texts is lost, and the rows stay in proportion to the copies.
     """
     sets = cut(word_sets(records, key, text, least), "words")
-    ids = sets.select("key", "id").distinct()
-    sizes = ids.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head"))
-    named = cut(ids.join(sizes, "key").select("key", "id", "head", "c"), "members")
-    stand = named.where((F.col("c") <= copies) | (F.col("id") == F.col("head")))
+    ids = sets.select("key", "text", "id").distinct()
+    sizes = ids.groupBy("key", "text").agg(F.count("*").alias("c"), F.min("id").alias("head"))
+    named = cut(ids.join(sizes, ["key", "text"]).select("key", "id", "head", "c"), "members")
+    stand = cut(named.where((F.col("c") <= copies) | (F.col("id") == F.col("head"))).select("key", "id").distinct(), "stand")
     links = similar_classes(sets, percent, frequent).select("key_a", "key_b")
     a = stand.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
     b = stand.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     across = links.join(a, "key_a").join(b, "key_b").select("x", "y")
-    few = named.where((F.col("c") > 1) & (F.col("c") <= copies)).select("key", "id")
+    several = stand.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    few = stand.join(several, "key", "left_semi")
     within = few.withColumnRenamed("id", "x").join(few.withColumnRenamed("id", "y"), "key").select("x", "y").where("x < y")
     star = named.where((F.col("c") > copies) & (F.col("id") != F.col("head"))).select(F.col("head").alias("x"), F.col("id").alias("y"))
     rows = across.unionByName(within).unionByName(star).where("x <> y")

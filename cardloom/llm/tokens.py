@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern of that vocabulary, as its publisher gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A text is encoded in pieces of at most so many characters, cut before a space: merges never cross one.
+#: A text is encoded in pieces of about so many characters, cut where the pattern has a boundary: merges never cross one.
 PIECE = 100_000
 
 _loaded: dict[str, object] = {}
@@ -31,22 +32,31 @@ def encoding(vocabulary: str = VOCABULARY):
     return _loaded[vocabulary]
 
 
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """The text in pieces of `most` characters or more, each ending where a run of the pattern ends.
+
+    Between a letter and a sign or space, and so on, there always is a boundary, as no alternative of the pattern but
+    the contractions and the optional leading space crosses kinds of characters. A run of one kind longer
+    than `most` is not cut.
+    """
+    kind = lambda c: "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "S" if c.isspace() else "P"
+    start = 0
+    while len(text) - start > most:
+        end = start + most
+        # a letter, digit or sign followed by one space and by none: the space belongs to what follows
+        while end < len(text) - 1 and not (text[end] == " " and kind(text[end - 1]) != "S" and kind(text[end + 1]) != "S") and not (kind(text[end - 1]) in "LN" and kind(text[end]) in "LN" and kind(text[end - 1]) != kind(text[end])) and not (text[end] == "\n" and kind(text[end - 1]) != "S" and kind(text[end + 1]) != "S"):
+            end += 1
+        end = end if end < len(text) - 1 else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
     enc = encoding(vocabulary)
     if len(text) <= PIECE:
         return len(enc.encode_ordinary(text))
-    total, start = 0, 0
-    while start < len(text):
-        end = min(len(text), start + PIECE)
-        if end < len(text):
-            cut = end
-            # a cut before a single space between two other characters leaves the pieces of the pattern as they are
-            while cut > start + 1 and not (text[cut] == " " and not text[cut - 1].isspace() and cut + 1 < len(text) and not text[cut + 1].isspace()):
-                cut -= 1
-            end = cut if cut > start + 1 else end
-        total += len(enc.encode_ordinary(text[start:end]))
-        start = end
-    return total
+    return sum(len(enc.encode_ordinary(p)) for p in pieces(text))
 
 
 def _counts(vocabulary: str):

@@ -394,3 +394,40 @@ def test_same_reading(spark):
     assert lookalikes.same_reading(df.limit(0)).count() == 0
     assert lookalikes.token_kind("lаtin") == "mixed" and lookalikes.token_kind("хора") == "whole" and lookalikes.token_kind("тяхуд") == "single"
     assert lookalikes.script_report(df).where("doc_id = 2").head()["mixed_tokens"] == 1
+
+
+def test_scripts_of_all_alphabets(spark):
+    looks = lookalikes.Looks(lookalikes.confusables(spark))
+    assert len(looks.more) > 200
+    for token in ("食べる", "カタカナと漢字", "한국어漢字", "ㄅ漢"):
+        assert looks.kind(token) == "single" and looks.canonical(token) == token
+    assert looks.kind("pаypal") == "mixed" and looks.kind("한a") == "mixed" and looks.kind("食한") == "single"
+    for a, b in (("ⲥⲣ", "cp"), ("ꓔꓗꓐ", "TKB"), ("νυρ", "vup"), ("сορе", "cope"), ("αβγ", "αβγ")):
+        assert looks.canonical(a) == looks.canonical(b)
+    # letters of one alphabet stay apart
+    assert looks.canonical("σ") != looks.canonical("ο") and looks.canonical("I") != looks.canonical("l")
+    assert lookalikes.Looks().canonical("ⲥ") != "c"
+
+
+def test_reading_pairs_stay_in_proportion_to_copies(spark):
+    rows = [(i, "pay now", "a") for i in range(300)] + [(1000 + i, "pаy now", "a") for i in range(300)] + [(2000, "раy now", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, form string")
+    got = {tuple(r) for r in lookalikes.same_reading(df, copies=10).collect()}
+    assert {(0, 1000), (0, 2000), (1000, 2000)} <= got and len(got) <= 3 + 600
+    assert {x for p in got for x in p} == {*range(300), *range(1000, 1300), 2000}
+    assert all((a < 1000) != (b < 1000) or b == 2000 or a == 2000 for a, b in got)
+    assert len(lookalikes.same_reading(df).collect()) <= 3 + 600
+
+
+@given(st.lists(st.sampled_from(["a", "é", "1", " ", "  ", "\n", "'s", "'", "!", "漢", "word"]), max_size=400))
+@settings(max_examples=60, deadline=None)
+def test_pieces_of_texts(parts):
+    text = "".join(parts)
+    enc = tokens.encoding()
+    cut = list(tokens.pieces(text, 20))
+    assert "".join(cut) == text and sum(len(enc.encode_ordinary(p)) for p in cut) == len(enc.encode_ordinary(text))
+
+
+def test_tokens_of_a_text_without_spaces():
+    text = "x" + "hello" * 30_000
+    assert tokens.count_tokens(text) == len(tokens.encoding().encode_ordinary(text))
