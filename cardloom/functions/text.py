@@ -140,10 +140,10 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def ascii_words(c: Column, least: int = 2, most: int = 64) -> Column:
-    """Distinct lower-case ASCII words in order of appearance, at most so many."""
+def ascii_words(c: Column, least: int = 2, most: int | None = 64) -> Column:
+    """Distinct lower-case ASCII words in order of appearance, at most so many (None: all)."""
     found = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= least)
-    return F.slice(F.array_distinct(found), 1, most)
+    return F.array_distinct(found) if most is None else F.slice(F.array_distinct(found), 1, most)
 
 
 # Common English words by falling frequency.

@@ -19,8 +19,15 @@ def badge_histogram(rows: DataFrame) -> DataFrame:
 
 
 def badge_order(rows: DataFrame) -> DataFrame:
-    """rows (note_id, badge, pos) with `place` by badge, those without one last, then by pos. Rows are a result list."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("badge", F.lit(99)), "pos", "note_id")))
+    """rows (note_id, badge, pos) with `place` by badge, those without one last, then by pos.
+
+    Places are counted within a badge and shifted by the counts of the badges before, a row each.
+    """
+    rows = rows.withColumn("b", F.coalesce("badge", F.lit(99)))
+    sizes = rows.groupBy("b").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # five badges at most
+    place = F.row_number().over(Window.partitionBy("b").orderBy("pos", "note_id"))
+    return rows.withColumn("inner", place).join(F.broadcast(before), "b").withColumn("place", (F.col("inner") + F.col("before")).cast("int")).drop("b", "inner", "before")
 
 
 def clean_groups(groups: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -48,9 +55,3 @@ def group_list(rows: DataFrame) -> DataFrame:
 def first_group(rows: DataFrame) -> DataFrame:
     """(note_id, label): each note in the first of its groups by (pos, label)."""
     return rows.groupBy("note_id").agg(F.min(F.struct("pos", "label")).alias("x")).select("note_id", F.col("x.label").alias("label"))
-
-
-def additive_counts(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, n): own size plus those of the direct children, repeats counted; edges (parent, child)."""
-    down = edges.join(sizes.select(F.col("node").alias("child"), F.col("n").alias("m")), "child").groupBy(F.col("parent").alias("node")).agg(F.sum("m").alias("m"))
-    return sizes.join(down, "node", "left").select("node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))

@@ -1,18 +1,15 @@
 """Full hierarchies from parent-child rows of unknown depth.
 
-Level-wise frontier joins start from the roots and extend path and depth. Nodes that no frontier
-reaches lie on a cycle or below one; powers of the parent function tell which.
+Level-wise frontier joins start from the roots and extend path and depth, several levels a join. Nodes that
+no frontier reaches lie on a cycle or below one; powers of the parent function tell which.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.shared import scratch, shuffle_width
+from cardloom.shared import cut, scratch
 
 
 def tree_nodes(topics: DataFrame) -> DataFrame:
@@ -24,14 +21,13 @@ def tree_nodes(topics: DataFrame) -> DataFrame:
     return topics.where("run_id is not null and topic_id is not null").groupBy("run_id", "topic_id").agg(F.min("parent_id").alias("parent_id"))
 
 
-#: A run of at most so many topics is walked in the memory of one task, a larger one by distributed joins.
-LOCAL_RUN = 200_000
+#: Levels that a frontier goes down in one join.
+HOP = 16
 
 _COLUMNS = ["run_id", "topic_id", "parent_id", "node_path", "depth", "root_id", "state"]
-_SCHEMA = "run_id string, topic_id int, parent_id int, node_path string, depth int, root_id int, state string"
 
 
-def hierarchy(topics: DataFrame, local_run: int = LOCAL_RUN) -> DataFrame:
+def hierarchy(topics: DataFrame, hop: int = HOP) -> DataFrame:
     """(run_id, topic_id, parent_id, node_path, depth, root_id, state), one row per (run_id, topic_id).
 
     state is "tree", "cycle" (the topic is its own ancestor) or "below_cycle". Paths hold topic ids from
@@ -39,90 +35,29 @@ def hierarchy(topics: DataFrame, local_run: int = LOCAL_RUN) -> DataFrame:
     A topic whose parent is null or has no row in its run is a root. Stored levels are not read.
     An empty table gives no rows; extra columns are ignored.
 
-    Parents are looked up within a run, so runs of at most local_run topics are independent groups of
-    bounded size; each is walked level by level on sorted arrays. Runs beyond that bound go through
-    distributed frontier joins, one level a job.
+    Ancestor pairs of up to `hop` levels come from joins that double their reach; a frontier, at first the
+    roots, then goes down so many levels by one join with them, each written to the shared folder. A frontier
+    has each node once; a parent of very many children is a skewed join of few rows with many, which
+    adaptive execution splits.
     """
-    nodes, width = tree_nodes(topics), shuffle_width(topics.sparkSession)
-    sizes = nodes.groupBy("run_id").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > local_run).select("run_id")
-    if big.isEmpty():
-        return nodes.repartition(width, "run_id").groupBy("run_id").applyInPandas(_walk_run, _SCHEMA)
-    small = nodes.join(big, "run_id", "left_anti").repartition(width, "run_id").groupBy("run_id").applyInPandas(_walk_run, _SCHEMA)
-    return small.unionByName(_walk_joins(nodes.join(big, "run_id", "left_semi")))
-
-
-def _walk_run(rows: pd.DataFrame) -> pd.DataFrame:
-    """One run: frontiers are index arrays, a level is a join of the frontier with the sorted parent column."""
-    ids = rows["topic_id"].to_numpy(np.int64)
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    named = rows["parent_id"].notna().to_numpy()[order]
-    parent = rows["parent_id"].fillna(0).to_numpy(np.int64)[order]
-    up = np.minimum(np.searchsorted(ids, parent), len(ids) - 1)
-    up = np.where(named & (ids[up] == parent), up, -1)
-    by_parent = np.argsort(up, kind="stable")
-    keys = up[by_parent]
-    depth, root = np.full(len(ids), -1), np.full(len(ids), -1)
-    path: list[str | None] = [None] * len(ids)
-    frontier = np.flatnonzero(up < 0)
-    depth[frontier], root[frontier] = 0, frontier
-    for i in frontier:
-        path[i] = str(ids[i])
-    level = 0
-    while len(frontier):
-        level += 1
-        lo, hi = np.searchsorted(keys, frontier, "left"), np.searchsorted(keys, frontier, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        frontier = by_parent[at]
-        depth[frontier], root[frontier] = level, root[up[frontier]]
-        for i in frontier:
-            path[i] = f"{path[up[i]]}/{ids[i]}"
-    state = np.where(depth >= 0, "tree", "below_cycle").astype(object)
-    loose = np.flatnonzero(depth < 0)
-    if len(loose):
-        power = up.copy()
-        for _ in range(int(len(loose)).bit_length() + 1):
-            power[loose] = power[power[loose]]
-        state[np.unique(power[loose])] = "cycle"
-    run = rows["run_id"].iloc[0]
-    out = pd.DataFrame({"run_id": run, "topic_id": ids, "parent_id": pd.array(np.where(named, parent, 0), "Int32"), "node_path": path, "depth": pd.array(depth, "Int32"), "root_id": pd.array(np.where(root >= 0, ids[root], 0), "Int32"), "state": state})
-    out.loc[~named, "parent_id"] = pd.NA
-    out.loc[depth < 0, ["depth", "root_id"]] = pd.NA
-    return out[_COLUMNS]
-
-
-def _walk_joins(nodes: DataFrame) -> DataFrame:
-    """The same by frontier joins over the cluster.
-
-    Edges stay partitioned by (run_id, parent_id), so that a level moves its frontier only. A frontier
-    has each node once; a parent of very many children is a skewed join of one row with many, which
-    adaptive execution splits. Each level is written to the shared folder.
-    """
-    spark = nodes.sparkSession
-    where = scratch(spark, "hierarchy")
-    parents = nodes.select(F.col("run_id"), F.col("topic_id").alias("parent_id"), F.lit(True).alias("known"))
-    nodes.join(parents, ["run_id", "parent_id"], "left").select("run_id", "topic_id", "parent_id", F.coalesce("known", F.lit(False)).alias("linked")).write.parquet(f"{where}/nodes")
-    nodes = spark.read.parquet(f"{where}/nodes")
-    edges = nodes.where("linked").select("run_id", F.col("parent_id").alias("up"), F.col("topic_id").alias("down")).repartition(shuffle_width(spark), "run_id", "up").persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = nodes.where("not linked").select("run_id", "topic_id", F.col("topic_id").cast("string").alias("node_path"), F.lit(0).alias("depth"), F.col("topic_id").alias("root_id"))
-    schema, level = frontier.schema, 0
-    try:
-        while True:
-            frontier.write.parquet(f"{where}/levels/level={level}")
-            frontier = spark.read.schema(schema).parquet(f"{where}/levels/level={level}")
-            if frontier.isEmpty():
-                break
-            level += 1
-            f = frontier.select("run_id", F.col("topic_id").alias("up"), "node_path", "root_id")
-            frontier = edges.join(f, ["run_id", "up"]).select("run_id", F.col("down").alias("topic_id"), F.concat_ws("/", "node_path", F.col("down").cast("string")).alias("node_path"), F.lit(level).alias("depth"), "root_id")
-    finally:
-        edges.unpersist()
-    reached = spark.read.schema(schema).parquet(*[f"{where}/levels/level={x}" for x in range(level + 1)])
-    key = ["run_id", "topic_id"]
-    nodes.join(reached.select(*key), key, "left_anti").select(*key, "parent_id").write.parquet(f"{where}/loose")
-    loose = spark.read.parquet(f"{where}/loose")
+    spark = topics.sparkSession
+    where, key = scratch(spark, "hierarchy"), ["run_id", "topic_id"]
+    nodes = tree_nodes(topics)
+    parents = nodes.select("run_id", F.col("topic_id").alias("parent_id"), F.lit(True).alias("known"))
+    nodes = cut(nodes.join(parents, ["run_id", "parent_id"], "left").select(*key, "parent_id", F.coalesce("known", F.lit(False)).alias("linked")), "nodes")
+    pairs, reach = _near_pairs(nodes, hop)
+    frontier = nodes.where("not linked").select(*key, F.col("topic_id").cast("string").alias("node_path"), F.lit(0).alias("depth"), F.col("topic_id").alias("root_id"))
+    schema, levels = frontier.schema, []
+    while True:
+        levels.append(f"{where}/block={len(levels)}")
+        frontier.write.parquet(levels[-1])
+        end = spark.read.schema(schema).parquet(levels[-1]).where(F.col("depth") == (len(levels) - 1) * reach)
+        if end.isEmpty():
+            break
+        up = end.select("run_id", F.col("topic_id").alias("up"), "node_path", F.col("depth").alias("above"), "root_id")
+        frontier = up.join(pairs, ["run_id", "up"]).select("run_id", F.col("down").alias("topic_id"), F.concat_ws("/", "node_path", "way").alias("node_path"), (F.col("above") + F.col("steps")).alias("depth"), "root_id")
+    reached = spark.read.schema(schema).parquet(*levels)
+    loose = cut(nodes.join(reached.select(*key), key, "left_anti").select(*key, "parent_id"), "loose")
     tree = reached.join(nodes.select(*key, "parent_id"), key).withColumn("state", F.lit("tree")).select(*_COLUMNS)
     n = loose.count()
     if not n:
@@ -132,6 +67,22 @@ def _walk_joins(nodes: DataFrame) -> DataFrame:
     return tree.unionByName(rest)
 
 
+def _near_pairs(nodes: DataFrame, hop: int) -> tuple[DataFrame, int]:
+    """((run_id, up, down, steps, way), reach): ancestor pairs of at most `reach` levels, with the way from below `up` to `down`.
+
+    reach is the least power of two from `hop` on, or less where nothing lies deeper.
+    """
+    pairs = nodes.where("linked").select("run_id", F.col("parent_id").alias("up"), F.col("topic_id").alias("down"), F.lit(1).alias("steps"), F.col("topic_id").cast("string").alias("way"))
+    reach = 1
+    while reach < hop:
+        far = pairs.where(F.col("steps") == reach).select("run_id", F.col("up").alias("top"), F.col("down").alias("up"), F.col("way").alias("first"))
+        if far.isEmpty():
+            break
+        more = far.join(pairs, ["run_id", "up"]).select("run_id", F.col("top").alias("up"), "down", (F.col("steps") + reach).alias("steps"), F.concat_ws("/", "first", "way").alias("way"))
+        pairs, reach = cut(pairs.unionByName(more), "pairs"), 2 * reach
+    return pairs, reach
+
+
 def _cycle_nodes(loose: DataFrame, n: int, where: str) -> DataFrame:
     """Keys on a cycle: every loose node has a loose parent, so the image of parent^m, m >= n, holds just these."""
     spark = loose.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import scores as S
-from cardloom.operators.ranking import top
+from cardloom.operators.ranking import placed, top
 
 
 def candidate_caps(limit: int) -> tuple[int, int]:
@@ -49,15 +49,15 @@ def union_pool(words: DataFrame, near: DataFrame, k: int = 100, most: int = 200)
 
     Both lists are result lists: bounded by k.
     """
-    a = words.orderBy("bm25", "note_id").limit(k).withColumn("o", F.row_number().over(Window.orderBy("bm25", "note_id")))
-    b = near.orderBy(F.desc("cos"), "note_id").limit(k).withColumn("o", k + F.row_number().over(Window.orderBy(F.desc("cos"), "note_id")))
+    a = placed(words, k, F.col("bm25"), F.col("note_id")).withColumn("o", F.col("place"))
+    b = placed(near, k, F.desc("cos"), F.col("note_id")).withColumn("o", k + F.col("place"))
     both = a.select("note_id", "bm25", F.lit(None).cast("double").alias("cos"), "o").unionByName(b.select("note_id", F.lit(None).cast("double").alias("bm25"), "cos", "o"))
     one = both.groupBy("note_id").agg(F.min("bm25").alias("bm25"), F.max("cos").alias("cos"), F.min("o").alias("o"))
     return one.withColumn("pos", F.row_number().over(Window.orderBy("o"))).where(F.col("pos") <= most).drop("o")
 
 
 def rerank(pool: DataFrame, words: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(note_id, rerank, bm25, segment, place): the pool by falling score (none: last), then the other word hits by bm25.
+    """(note_id, rerank, bm25, segment, place): the pool by falling score (none: last), then the other word hits by bm25. Both are result lists, already cut.
 
     scorer maps (note_id, ...) to (note_id, rerank).
     """
@@ -68,6 +68,13 @@ def rerank(pool: DataFrame, words: DataFrame, scorer: Callable[[DataFrame], Data
     return rows.withColumn("place", F.row_number().over(w)).drop("pos")
 
 
+def small_rerank(words: DataFrame, near: DataFrame, scorer: Callable[[DataFrame], DataFrame], k: int = 5) -> DataFrame:
+    """(note_id, rerank, place): the first k by words and the first k by vector by falling score; a note without one scores 0."""
+    pool = union_pool(words, near, k, 2 * k)
+    rows = pool.join(scorer(pool), "note_id", "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
+    return placed(rows, 2 * k, F.desc("rerank"), F.col("pos")).select("note_id", "rerank", "place")
+
+
 def rerank_filter(rows: DataFrame, least: float) -> DataFrame:
     """Rows whose score, scaled to 0..1 over the list, reaches `least` (of equal scores all)."""
     from cardloom.operators.notes import min_max_filter
@@ -81,7 +88,7 @@ def panel(rows: DataFrame, note_id: int, least: float = 0.7, k: int = 20) -> Dat
 
 
 def resorted(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(note_id, bm25, place): visible rows (note_id, pos) by bm25, those without one last, then by their old place."""
+    """(note_id, bm25, place): visible rows (note_id, pos) by bm25, those without one last, then by their old place. rows are the list on view, cut before."""
     out = rows.join(words.select("note_id", "bm25"), "note_id", "left")
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("bm25"), "pos"))).drop("pos")
 

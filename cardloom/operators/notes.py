@@ -35,27 +35,40 @@ def back(fields: DataFrame) -> DataFrame:
     return fields.where("note_id is not null").groupBy("note_id").agg(F.max(last).alias("x")).select("note_id", F.when(F.col("x.z"), F.col("x.v")).alias("back"))
 
 
+def with_front(ids: DataFrame, notes: DataFrame, fields: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(note_id, front) of the given ids that notes has, newest id first; front is null for a note without fields.
+
+    A page (limit, offset) is cut before fields are read for it; without a limit all notes come out.
+    """
+    have = notes.where("note_id is not null").select("note_id").distinct()
+    known = ids.select("note_id").distinct().join(have, "note_id", "left_semi")
+    if limit is None:
+        return known.join(front(fields), "note_id", "left")
+    known = known.orderBy(F.desc("note_id")).offset(offset).limit(limit)
+    return known.join(front(fields.join(known, "note_id", "left_semi")), "note_id", "left").orderBy(F.desc("note_id"))
+
+
 def page(notes: DataFrame, fields: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """(note_id, front), newest id first. The page is cut before fields are read for it."""
-    ids = current_notes(notes).select("note_id").orderBy(F.desc("note_id")).offset(offset).limit(limit)
-    return ids.join(front(fields.join(ids, "note_id", "left_semi")), "note_id", "left")
+    """(note_id, front), newest id first."""
+    return with_front(notes, notes, fields, limit, offset)
 
 
-def exact_search(fields: DataFrame, query: str) -> DataFrame:
-    """(note_id): notes in which every word or quoted phrase of the query occurs in some field.
+def exact_search(notes: DataFrame, fields: DataFrame, query: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(note_id, front): notes in which every word or quoted phrase of the query occurs in some field, newest first.
 
     One pass: a flag per part, or-ed over the fields of a note. Comparison folds A to Z only. An empty
-    query finds nothing.
+    query lists the notes. Without a limit all come out.
     """
     parts = T.query_parts(query)
     if not parts:
-        return fields.select("note_id").where("false")
+        return with_front(notes, notes, fields, limit, offset)
     low = T.ascii_lower(F.col("value_html"))
     flags = [F.bool_or(F.contains(low, F.lit(p))).alias(f"p{i}") for i, p in enumerate(parts)]
     cond = F.lit(True)
     for i in range(len(parts)):
         cond &= F.col(f"p{i}")
-    return fields.where("note_id is not null and value_html is not null").groupBy("note_id").agg(*flags).where(cond).select("note_id")
+    hits = fields.where("note_id is not null and value_html is not null").groupBy("note_id").agg(*flags).where(cond)
+    return with_front(hits, notes, fields, limit, offset)
 
 
 def details(notes: DataFrame, fields: DataFrame, tags: DataFrame) -> DataFrame:
@@ -71,6 +84,12 @@ def visible_notes(fields: DataFrame) -> DataFrame:
     return front(fields).select("note_id", T.is_visible(F.col("front")).alias("visible"))
 
 
+def visible_only(rows: DataFrame, fields: DataFrame) -> DataFrame:
+    """rows (note_id, ...) with their `front`, without those whose front shows nothing. rows are a result list, already cut."""
+    fronts = front(fields.join(rows.select("note_id"), "note_id", "left_semi"))
+    return rows.join(fronts, "note_id").where(T.is_visible(F.col("front")))
+
+
 def restrict(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows of the given ids; an id list of any length is a semi-join, broadcast by its size alone."""
     return rows.join(ids.select("note_id"), "note_id", "left_semi")

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import scores as S
@@ -47,8 +48,12 @@ def cosine_scan_arrow(vectors: DataFrame, query: list[float], model: str) -> Dat
     return vectors.where((F.col("model") == model) & (F.size("vec") == len(q))).select("note_id", "vec").mapInPandas(run, "note_id long, cos double")
 
 
-#: Query vectors that are sent to all tasks at once: 20000 of 64 numbers are some 10 MB.
-QUERY_BLOCK = 20_000
+#: Query vectors that are sent to all tasks at once: 20,000 of 64 numbers are some 10 MB, and their k best so far in a
+#: task 16 bytes each; they meet the vectors in blocks of some 512 x 4,096 cosines (16 MB).
+QUERY_BLOCK, STEP = 20_000, 512
+
+#: Rows of one part of a bucket of the approximate index.
+PART = 20_000
 
 
 def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -64,39 +69,48 @@ def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     blocks = -(-n // QUERY_BLOCK) + (n > QUERY_BLOCK)  # hashed blocks are not quite even
     out = spark.createDataFrame([], "query_id long, note_id long, cos double")
     for block in range(blocks):
-        pdf = fit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "qvec").toPandas()
-        if pdf.empty:
+        t = fit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec")).toArrow()
+        if not t.num_rows:
             continue
-        q = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-        q = q / np.maximum(np.sqrt((q**2).sum(1)), 1e-300)[:, None]
-        shared = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), q))
-        part = vectors.where(F.size("vec") == size).select("note_id", "vec").mapInPandas(_best_of_block(shared, k), "query_id long, note_id long, cos double")
+        shared = spark.sparkContext.broadcast((t["query_id"].to_numpy(), _unit(t["qvec"].combine_chunks())))
+        part = vectors.where(F.size("vec") == size).select("note_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_best_of_block(shared, k), "query_id long, note_id long, cos double")
         out = out.unionByName(part)
     return top(out, k, F.desc("cos"))
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x**2).sum(1)), 1e-300)[:, None]
+
+
 def _best_of_block(shared, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best = np.full((len(ids), 0), -2.0)
-        who = np.empty((len(ids), 0), np.int64)
+        best, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            x = x / np.maximum(np.sqrt((x**2).sum(1)), 1e-300)[:, None]
+            x, notes = _unit(b.column("vec")), b.column("note_id").to_numpy(zero_copy_only=False)
             for s in range(0, len(x), 4096):
-                cos = np.concatenate([best, q @ x[s : s + 4096].T], 1)
-                note = np.concatenate([who, np.broadcast_to(b["note_id"].to_numpy()[s : s + 4096], (len(ids), len(x[s : s + 4096])))], 1)
-                if cos.shape[1] > k + 64:
-                    some = np.argpartition(-cos, k + 63, axis=1)[:, : k + 64]
-                    cos, note = np.take_along_axis(cos, some, 1), np.take_along_axis(note, some, 1)
-                if cos.shape[1] > k:
-                    # ties by note_id: exact copies have equal cosines
-                    order = np.lexsort((note, -cos.round(12)), axis=1)[:, :k]
-                    cos, note = np.take_along_axis(cos, order, 1), np.take_along_axis(note, order, 1)
-                best, who = cos, note
-        yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "note_id": who.ravel(), "cos": best.ravel()})
+                these = notes[s : s + 4096]
+                for i in range(0, len(ids), STEP):
+                    mine = slice(i, i + STEP)
+                    cos = (q[mine] @ x[s : s + 4096].T).round(12)  # exact copies have equal cosines
+                    least = best[mine, -1:]
+                    row, col = np.nonzero((cos > least) | ((cos == least) & (these[None] < who[mine, -1:])))
+                    if not len(row):
+                        continue
+                    n = len(best[mine])
+                    r = np.concatenate([np.repeat(np.arange(n), k), row])
+                    c = np.concatenate([best[mine].ravel(), cos[row, col]])
+                    w = np.concatenate([who[mine].ravel(), these[col]])
+                    order = np.lexsort((w, -c, r))
+                    r, c, w = r[order], c[order], w[order]
+                    place = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+                    keep = place < k
+                    best[mine], who[mine] = c[keep].reshape(n, k), w[keep].reshape(n, k)
+        r, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(who[r, j]), pa.array(best[r, j])], names=["query_id", "note_id", "cos"])
 
     return run
 
@@ -215,15 +229,72 @@ def to_blobs(rows: DataFrame, vec: str = "vec") -> DataFrame:
     return rows.withColumn("blob", encode(F.col(vec)))
 
 
-def lsh_index(vectors: DataFrame, model: str, dim: int, tables: int = 8, bucket: float = 0.5):
-    """(fitted model, frame with hashes): an approximate index over unit vectors of one model, for optional use."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def lsh_search(vectors: DataFrame, model: str, dim: int, query: Column, k: int, tables: int = 24, planes: int = 7) -> DataFrame:
+    """(model, note_id, neighbour_id, cos, place): approximately the k nearest notes of the queries (a condition on note_id) in one model.
 
-    unit = F.transform("vec", lambda v: v.cast("double") / S.norm(F.col("vec")))
-    rows = vectors.where((F.col("model") == model) & (F.size("vec") == dim)).select("note_id", array_to_vector(unit).alias("unit"))
-    fitted = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=1).fit(rows)
-    return fitted, fitted.transform(rows)
+    The index: every vector of the model has a bucket in each table, by the sides it lies on of some random
+    planes. A query meets the vectors of its own buckets and of those beyond its nearest plane; each query
+    and bucket keeps its k best before they are put together.
+    """
+    rng = np.random.default_rng([29, dim, tables, planes])
+    normals = rng.standard_normal((tables, planes, dim))
+    rows = vectors.where((F.col("model") == model) & (F.size("vec") == dim))
+
+    def buckets(probe: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                side = np.einsum("nd,tpd->ntp", _unit(b.column("vec")), normals)
+                code = (side > 0) @ (1 << np.arange(planes))
+                if probe:
+                    near = 1 << np.argmin(np.abs(side), 2)
+                    code = np.concatenate([code, code ^ near], 1)
+                code = code + (np.arange(code.shape[1]) % tables << planes)
+                n = code.shape[1]
+                row = np.repeat(np.arange(b.num_rows), n)
+                yield pa.RecordBatch.from_arrays([pa.array(code.ravel().astype(np.int32)), b.column("note_id").take(pa.array(row)), b.column("vec").take(pa.array(row))], names=["bucket", "note_id", "vec"])
+
+        return run
+
+    def best(key: tuple[int], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"note_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
+        asks, notes = left["note_id"].to_numpy(), right["note_id"].to_numpy()
+        q, x = _unit(left["vec"].combine_chunks()), _unit(right["vec"].combine_chunks())
+        got = [[], [], []]
+        for s in range(0, len(q), STEP):
+            cos = q[s : s + STEP] @ x.T
+            cos[asks[s : s + STEP, None] == notes[None]] = -2
+            few = np.argpartition(-cos, min(k, cos.shape[1]) - 1, axis=1)[:, :k]
+            value = np.take_along_axis(cos, few, 1)
+            r, j = np.nonzero(value > -2)
+            for to, v in zip(got, (asks[s + r], notes[few[r, j]], value[r, j])):
+                to.append(v)
+        return pa.table({name: np.concatenate(v) for name, v in zip(("note_id", "neighbour_id", "cos"), got)})
+
+    as_double = rows.select("note_id", F.col("vec").cast("array<double>").alias("vec"))
+    kind = "bucket int, note_id long, vec array<double>"
+    # hot buckets are cut by a hash of the note; a query goes to all parts
+    data = as_double.mapInArrow(buckets(False), kind)
+    sizes = data.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # tables x 2^planes rows
+    sized = F.broadcast(sizes)
+    data = data.join(sized, "bucket").withColumn("part", F.pmod(F.xxhash64("note_id"), F.col("parts")).cast("int"))
+    asks = as_double.where(query).mapInArrow(buckets(True), kind).join(sized, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols = ["bucket", "part", "note_id", "vec"]
+    found = asks.select(*cols).groupBy("bucket", "part").cogroup(data.select(*cols).groupBy("bucket", "part")).applyInArrow(best, "note_id long, neighbour_id long, cos double")
+    once = found.groupBy("note_id", "neighbour_id").agg(F.max("cos").alias("cos"))
+    w = Window.partitionBy("note_id").orderBy(F.desc("cos"), "neighbour_id")
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(F.lit(model).alias("model"), "note_id", "neighbour_id", "cos", "place")
+
+
+def index_status(vectors: DataFrame, dims: dict[str, int]) -> DataFrame:
+    """(backend, model, dim, n_vectors, indexed): vectors by length, and whether the approximate index holds them."""
+    want = F.lit(None).cast("int")
+    for model, n in dims.items():
+        want = F.when(F.col("model") == model, n).otherwise(want)
+    rows = vectors.groupBy("backend", "model", F.size("vec").alias("dim")).agg(F.count("*").alias("n_vectors"))
+    return rows.withColumn("indexed", F.coalesce(F.col("dim") == want, F.lit(False)))
 
 
 def pair_cosines(rows: DataFrame, key: str, least: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
-from cardloom.operators.notes import current_tags
+from cardloom.operators.notes import current_tags, with_front
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:
@@ -19,12 +19,14 @@ def under(tag: Column, prefix: str) -> Column:
     return (tag == prefix) | T.ascii_lower(tag).like(prefix.translate(str.maketrans(T._UPPER, T._LOWER)) + "::%")
 
 
-def notes_with_tag(tags: DataFrame, tag: str) -> DataFrame:
-    return current_tags(tags).where(F.col("tag") == tag).select("note_id").distinct()
+def notes_with_tag(notes: DataFrame, fields: DataFrame, tags: DataFrame, tag: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(note_id, front) of the notes with exactly this tag, newest first; ids that notes has not are none."""
+    return with_front(current_tags(tags).where(F.col("tag") == tag), notes, fields, limit, offset)
 
 
-def notes_under(tags: DataFrame, prefix: str) -> DataFrame:
-    return current_tags(tags).where(under(F.col("tag"), prefix)).select("note_id").distinct()
+def notes_under(notes: DataFrame, fields: DataFrame, tags: DataFrame, prefix: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(note_id, front) of the notes with this tag or one below it, newest first."""
+    return with_front(current_tags(tags).where(under(F.col("tag"), prefix)), notes, fields, limit, offset)
 
 
 def child_tags(tags: DataFrame, prefix: str = "") -> DataFrame:
@@ -57,6 +59,12 @@ def unique_counts(tags: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.countDistinct("note_id").alias("n_notes"))
 
 
+def additive_counts(tags: DataFrame) -> DataFrame:
+    """(path, n): of every tag that notes have, its count and those of all tags below it at any depth, notes of several tags counted repeatedly."""
+    own = tag_counts(tags).select(F.col("tag").alias("path"))
+    return own.join(tag_tree(tags).select("path", "n"), "path")
+
+
 def group_tree(tags: DataFrame, depth: int = 3, children: int = 20, leaf_notes: int = 500) -> DataFrame:
     """(path, level, n, place): the tree shown for grouping: per parent the largest children, ties by path, to a depth."""
     tree = tag_tree(tags).where(F.col("depth") <= depth)

@@ -10,7 +10,7 @@ from cardloom.operators import keyphrases as K
 from cardloom.operators import notes as N
 from cardloom.operators import tags as G
 from cardloom.plans import sql as S
-from cardloom.shared import table
+from cardloom.shared import scratch, table
 
 QUERIES, SQL = {}, {}
 
@@ -37,18 +37,38 @@ def note_list_page(spark, d):
 
 def _exact(parts):
     low = S.ascii_lower("value_html")
-    cond = " and ".join(f"bool_or(contains({low}, '{p}'))" for p in parts)
-    return f"select note_id from note_fields where note_id is not null and value_html is not null group by note_id having {cond}"
+    cond = " and ".join(f"exists (select 1 from note_fields f where f.note_id = listed.note_id and contains({low}, '{p}'))" for p in parts)
+    return f"with {S.LISTED} select note_id, front from listed where {cond}"
+
+
+def _search(spark, d, text, limit=None, offset=0):
+    return N.exact_search(table(spark, d, "notes"), table(spark, d, "note_fields"), text, limit, offset)
 
 
 @query(_exact(["linear", "vesicle"]))
 def exact_search_and(spark, d):
-    return N.exact_search(table(spark, d, "note_fields"), "Linear vesicle")
+    return _search(spark, d, "Linear vesicle")
 
 
 @query(_exact(["tensor test", "the"]))
 def exact_search_phrase(spark, d):
-    return N.exact_search(table(spark, d, "note_fields"), '"tensor test" the')
+    return _search(spark, d, '"tensor test" the')
+
+
+@query(_exact(["linear"]) + " order by note_id desc limit 20 offset 5")
+def exact_search_page(spark, d):
+    return _search(spark, d, "linear", 20, 5)
+
+
+@query(f"with {S.LISTED} select note_id, front from listed order by note_id desc limit 200")
+def exact_search_empty(spark, d):
+    """An empty query lists the newest notes."""
+    return _search(spark, d, "  ", 200)
+
+
+@query(f"with {S.LISTED} select note_id, front from listed where note_id in (select note_id from embeddings2 where model = 'finch-300m')")
+def first_field_of_ids(spark, d):
+    return N.with_front(table(spark, d, "embeddings2").where("model = 'finch-300m'"), table(spark, d, "notes"), table(spark, d, "note_fields"))
 
 
 @query(f"with {S.FIELDS}, {S.FRONT} select * from front")
@@ -84,14 +104,26 @@ def first_ids(spark, d):
     return N.first_ids(table(spark, d, "embeddings2"))
 
 
-@query(f"with {S.TAGS} select distinct note_id from ct where tag = 'inbox::unsorted'")
+def _three(spark, d):
+    return table(spark, d, "notes"), table(spark, d, "note_fields"), table(spark, d, "note_tags")
+
+
+_TAGGED = f"with {S.LISTED} select listed.note_id, front from listed"
+
+
+@query(f"{_TAGGED} join (select distinct note_id, tag from note_tags) t using (note_id) where t.tag = 'inbox::unsorted'")
 def notes_by_tag(spark, d):
-    return G.notes_with_tag(table(spark, d, "note_tags"), "inbox::unsorted")
+    return G.notes_with_tag(*_three(spark, d), "inbox::unsorted")
+
 
+@query(f"{_TAGGED} join (select distinct note_id, tag from note_tags) t using (note_id) where t.tag = 'inbox::unsorted' order by note_id desc limit 100 offset 40")
+def notes_by_tag_page(spark, d):
+    return G.notes_with_tag(*_three(spark, d), "inbox::unsorted", 100, 40)
 
-@query(f"with {S.TAGS} select distinct note_id from ct where tag = 'physics' or {S.ascii_lower('tag')} like 'physics::%'")
+
+@query(f"{_TAGGED} where exists (select 1 from note_tags t where t.note_id = listed.note_id and (t.tag = 'physics' or {S.ascii_lower('t.tag')} like 'physics::%'))")
 def notes_by_tag_prefix(spark, d):
-    return G.notes_under(table(spark, d, "note_tags"), "physics")
+    return G.notes_under(*_three(spark, d), "physics")
 
 
 @query(f"with {S.TAGS} select tag, count(*) as n_notes from ct group by 1")
@@ -165,7 +197,13 @@ for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("
 _text_query("display_text", T.display_text, S.collapse(rf"regexp_replace({_display}, '\{{\{{[^}}]*\}}\}}', '', 'g')"))
 
 
-@query()
+# plain inline tags are marked by signs no text has, all others go, and the marked ones come back
+_INLINE = r"<(/?(?:b|i|u|em|strong|sub|sup|mark)\b[^>]*)>"
+_OPENED = r"regexp_replace(regexp_replace(regexp_replace(coalesce(front, ''), '<img[^>]*>', '{}', 'gi'), '\[sound:[^\]]+\]', '{}', 'gi'), '\{{\{{c\d+::(.*?)(?:::[^}}]*)?\}}\}}', '<mark>\1</mark>', 'g')".format(T.PICTURE, T.SPEAKER)
+_PREVIEW = rf"replace(replace(regexp_replace(regexp_replace({_OPENED}, '{_INLINE}', '\x01\1\x02', 'gi'), '<[^>]*>', ' ', 'g'), chr(1), '<'), chr(2), '>')".replace("\\x01", "' || chr(1) || '").replace("\\x02", "' || chr(2) || '")
+
+
+@query(f"with {S.FIELDS}, {S.FRONT} select note_id, {S.collapse(_PREVIEW)} as preview from front")
 def preview_html(spark, d):
     return N.front(table(spark, d, "note_fields")).select("note_id", T.preview(F.col("front")).alias("preview"))
 
@@ -201,31 +239,52 @@ def keyphrases_textrank(spark, d):
     return K.phrase_rows(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _docs(spark, d):
+    return I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields"))
+
+
 @query(f"with {S.INDEX}, p as (select note_id, unnest(tokens) as term from idx) select term, count(distinct note_id) as docs, count(*) as n from p group by 1")
 def vocab_df(spark, d):
-    return I.vocabulary(I.documents_index(table(spark, d, "note_fields")))
+    return I.vocabulary(_docs(spark, d))
 
 
 @query(f"with {S.INDEX} select note_id, cast(i - 1 as int) as pos, tokens[i] as term from (select note_id, tokens, unnest(range(1, len(tokens) + 1)) as i from idx)")
 def index_postings(spark, d):
-    return I.postings(I.documents_index(table(spark, d, "note_fields")))
+    return I.postings(_docs(spark, d))
 
 
 @query(f"with {S.INDEX} select count(*) as docs from idx where len(list_filter(range(1, len(tokens)), lambda i: tokens[i : i + 1] = ['tensor', 'test'])) > 0")
 def phrase_df(spark, d):
-    return I.phrase_frequency(I.documents_index(table(spark, d, "note_fields")), ["tensor", "test"])
+    return I.phrase_frequency(_docs(spark, d), ["tensor", "test"])
 
 
-@query(f"with {S.INDEX} select (select count(*) from idx) as n_index, (select count(distinct note_id) from note_fields) as n_notes, false as rebuild")
+_STALE = "select count(distinct note_id) as n_index from notes where note_id is not null and fetched_at < 1700000000"
+_HEALTH = "select n_index, n_notes, n_index <> n_notes as rebuild from ({}) cross join (select count(distinct note_id) as n_notes from notes)"
+
+
+@query(_HEALTH.format(_STALE))
 def index_health(spark, d):
-    f = table(spark, d, "note_fields")
-    return I.needs_rebuild(I.documents_index(f), f)
+    """An index of the notes fetched before a day, against all notes."""
+    notes = table(spark, d, "notes")
+    return I.needs_rebuild(I.documents_index(notes.where("fetched_at < 1700000000"), table(spark, d, "note_fields")), notes)
+
+
+@query(_HEALTH.format("select count(distinct note_id) as n_index from notes where note_id is not null"))
+def index_health_fresh(spark, d):
+    return I.needs_rebuild(_docs(spark, d), table(spark, d, "notes"))
+
+
+@query(f"with {S.INDEX}, p as (select note_id, cast(len(tokens) as int) as length, unnest(tokens) as term, unnest(range(len(tokens))) as place from idx) select term, note_id, length, cast(count(*) as int) as tf, min(place)::int as first_place, max(place)::int as last_place from p group by all")
+def index_build(spark, d):
+    """The index stored by term and read back."""
+    posts = I.stored(_docs(spark, d), scratch(spark, "index")).postings
+    return posts.select("term", "note_id", "length", "tf", F.element_at("places", 1).alias("first_place"), F.element_at("places", -1).alias("last_place"))
 
 
 @query(f"""with {S.INDEX}, late as (select distinct note_id from notes where synced_at > fetched_at), gone as (select distinct note_id from note_deletions)
 select note_id, cast(len(tokens) as int) as n_tokens from idx where note_id in (select note_id from late) or note_id not in (select note_id from gone)""")
 def index_maintenance(spark, d):
-    whole = I.documents_index(table(spark, d, "note_fields"))
+    whole = _docs(spark, d)
     late = table(spark, d, "notes").where("synced_at > fetched_at").select("note_id").distinct()
     gone = table(spark, d, "note_deletions").where("note_id is not null").select("note_id").distinct()
     return I.refreshed(whole, whole.join(late, "note_id", "left_semi"), gone).select("note_id", F.size("tokens").alias("n_tokens"))

@@ -35,9 +35,17 @@ def _vectors(spark, d, model):
     return V.current_vectors(table(spark, d, "embeddings2")).where((F.col("model") == model) & (F.size("vec") == _DIMS[model]))
 
 
-@query()
+_SIZES = (100, 1499, 1500, 5000, 10_000, 10_001, 20_000, 20_001, 40_000)
+_PARAMETERS = """with a as (select n, case when n >= 40000 then 18 when n >= 20000 then 16 when n >= 10000 then 12 when n >= 5000 then 9 when n >= 1500 then 7 else 5 end as size from (values {}) v(n)),
+p as (select n, size as min_cluster_size, greatest(3, size // 3) as min_samples, greatest(4, floor(size * 0.8 + 0.5)) as min_topic_size,
+  least(45, greatest(8, floor(sqrt(least(n, 2500)) + 0.5) + 5)) as n_neighbors, 15 as n_components, case when n > 10000 then 0.015 else 0.035 end as min_dist,
+  case when n > 20000 then 10 when n > 10000 then 5 else 1 end as min_df, case when n > 20000 then 20000 when n > 10000 then 15000 else 8000 end as max_features, 12 as top_terms, 42 as seed from a)
+select n, parameter, value from (select n, columns(* exclude n)::double from p) unpivot (value for parameter in (* exclude n))"""
+
+
+@query(_PARAMETERS.format(", ".join(f"({n})" for n in _SIZES)))
 def topic_parameters(spark, d):
-    rows = [(n, k, float(v)) for n in (100, 1500, 5000, 10_000, 20_001, 40_000) for k, v in M.schedule(n).items()]
+    rows = [(n, k, float(v)) for n in _SIZES for k, v in M.schedule(n).items()]
     return spark.createDataFrame(rows, "n int, parameter string, value double")
 
 
@@ -75,7 +83,7 @@ ct as (select class, term, score, row_number() over (partition by class order by
 
 def _classes(spark, d):
     docs = table(spark, d, "topic_docs").where("topic_id >= 0").select("run_id", "topic_id", "note_id").distinct()
-    rows = docs.join(I.documents_index(table(spark, d, "note_fields")), "note_id")
+    rows = docs.join(I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields")), "note_id")
     return rows.select(F.concat_ws("/", "run_id", F.col("topic_id").cast("string")).alias("class"), "tokens")
 
 
@@ -172,14 +180,14 @@ def topic_scope_labels(spark, d):
 @query()
 def topic_map_build(spark, d):
     """A map over all notes of one model with a front: bisecting clusters, Ward's tree, c-TF-IDF labels."""
-    index = I.documents_index(table(spark, d, "note_fields"))
+    index = I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields"))
     docs = _vectors(spark, d, "finch-300m").select("note_id", "vec").join(index, "note_id")
     return M.build(docs)[0]
 
 
 @query()
 def topic_map_members(spark, d):
-    index = I.documents_index(table(spark, d, "note_fields"))
+    index = I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields"))
     docs = _vectors(spark, d, "finch-300m").select("note_id", "vec").join(index, "note_id")
     return M.build(docs)[1].withColumn("cos", F.round("cos", 6))
 

@@ -53,7 +53,9 @@ FRONT = "front as (select note_id, value_html as front from (select *, row_numbe
 BACK = "back as (select note_id, value_html as back from (select *, row_number() over (partition by note_id order by coalesce(ord, -999999) desc, coalesce(field_name, '') desc, value_html is not null desc, value_html desc) as rn from cf) where rn = 1)"
 TAGS = "ct as (select distinct note_id, tag from note_tags where note_id is not null and tag is not null)"
 NOTES = "cn as (select * exclude (rn) from (select *, row_number() over (partition by note_id order by synced_at desc nulls last, fetched_at desc nulls last, mod desc nulls last, content_hash desc nulls last, profile desc nulls last, model_name desc nulls last) as rn from notes where note_id is not null) where rn = 1)"
-INDEX = f"{FIELDS}, {FRONT}, idx as (select note_id, {tokens(with_media('front'))} as tokens from front)"
+#: The notes of a condition on note_id, with the first field each has.
+LISTED = f"{FIELDS}, {FRONT}, listed as (select note_id, front from (select distinct note_id from notes where note_id is not null) left join front using (note_id))"
+INDEX = f"{LISTED}, idx as (select note_id, {tokens(with_media('front'))} as tokens from listed)"
 VECTORS = """cv as (select note_id, backend, model, vec from (
   select *, row_number() over (partition by note_id, backend, model order by updated_at desc nulls last, vec desc) as rn
   from (select *, list_sum(list_transform(vec, lambda x: abs(x::double))) as total from embeddings2 where note_id is not null and model is not null and vec is not null)
@@ -66,12 +68,24 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(values {body}) v({columns})"
 
 
+def numbers(vec) -> str:
+    return "[" + ", ".join(repr(float(x)) for x in vec) + "]::double[]"
+
+
+#: Whether a front shows anything.
+VISIBLE = rf"coalesce(regexp_matches(front, '\[sound:[^\]]+\]', 'i') or regexp_matches(front, '<img\b', 'i') or length({strip_html('front')}) > 0, false)"
+
+
 def bm25(terms: dict[int, list[str]]) -> str:
-    """CTEs up to parts(query_id, term_idx, term, note_id, part, df, n)."""
+    """CTEs up to scores(query_id, note_id, bm25)."""
     rows = [(q, i, t) for q, ts in terms.items() for i, t in enumerate(ts)]
     return f"""{INDEX},
 terms as (select query_id, term_idx, term, {tokens('term')} as words from {values(rows, 'query_id, term_idx, term')}),
-stats as (select count(*) as n, avg(len(tokens)) as mean from idx),
+{SCORES}"""
+
+
+#: CTEs from idx and terms(query_id, term_idx, term, words) up to parts(query_id, term_idx, term, note_id, part, df, n) and scores.
+SCORES = """stats as (select count(*) as n, avg(len(tokens)) as mean from idx),
 hits as (
   select query_id, term_idx, term, note_id, len(tokens) as length,
     len(list_filter(range(1, greatest(len(tokens) - len(words) + 2, 1)), lambda i: tokens[i : i + len(words) - 1] = words)) as tf

@@ -190,15 +190,12 @@ def badge_order(spark, d):
     return G.badge_order(rows).select("note_id", "badge", "place")
 
 
-@query("""with tc as (select tag, count(distinct note_id) as n from note_tags where note_id is not null group by 1)
-select t.tag as node, cast(t.n + coalesce((select sum(c.n) from tc c where array_to_string(string_split(c.tag, '::')[1:-2], '::') = t.tag and contains(c.tag, '::')), 0) as bigint) as n from tc t""")
+@query("""with tc as (select tag, count(distinct note_id) as n from note_tags where note_id is not null and tag is not null group by 1)
+select t.tag as path, cast(sum(c.n) as bigint) as n from tc t join tc c on c.tag = t.tag or starts_with(c.tag, t.tag || '::') group by 1""")
 def group_additive_counts(spark, d):
-    from cardloom.operators.tags import tag_counts
+    from cardloom.operators.tags import additive_counts
 
-    sizes = tag_counts(table(spark, d, "note_tags")).select(F.col("tag").alias("node"), F.col("n_notes").alias("n"))
-    parts = F.split("node", "::")
-    edges = sizes.where("size(split(node, '::')) > 1").select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "::").alias("parent"), F.col("node").alias("child"))
-    return G.additive_counts(edges, sizes)
+    return additive_counts(table(spark, d, "note_tags"))
 
 
 # streaming forms ---------------------------------------------------------------------------------
@@ -224,19 +221,22 @@ def _exists(spark, path: str) -> bool:
     return True
 
 
-_STREAM_JOBS = "select event_id % 500 as note_id, case event_type when 'error' then 'failed' when 'purchase' then 'done' when 'click' then 'start' else 'enqueue' end as event, event_id as at, event_type as error from events"
+_STREAM_JOBS = """with e as (select user_id as note_id, case event_type when 'error' then 'failed' when 'purchase' then 'done' when 'click' then 'start' else 'enqueue' end as event, event_id as pos, event_type as error from events),
+l as (select note_id, max(pos) filter (event = 'start') as s, max(pos) filter (event = 'done') as d, max(pos) filter (event = 'failed') as f, max(pos) filter (event = 'enqueue') as q, count(*) filter (event = 'failed') as attempts, max(error) filter (event = 'failed') as error from e group by 1),
+z as (select *, greatest(coalesce(s, -1), coalesce(d, -1), coalesce(f, -1)) as last from l)
+select note_id, case when last = s then 'in_progress' when last = d and coalesce(q, -1) < d then 'done' else 'pending' end as status, cast(attempts as int) as attempts, case when coalesce(f, -1) > coalesce(d, -1) then error end as last_error from z"""
 
 
-@query()
+@query(_STREAM_JOBS)
 def stream_job_states(spark, d):
-    """Attempts of 500 jobs as a stream through the state machine; the last state of each."""
+    """The events of each user as attempts of one job, a stream through the state machine; the last state of each."""
     from cardloom.streaming import feeds as X
 
     where = scratch(spark, "jobs")
     kind = F.col("event_type")
     event = F.when(kind == "error", "failed").when(kind == "purchase", "done").when(kind == "click", "start").otherwise("enqueue")
-    rows = table(spark, d, "events").select((F.col("event_id") % 500).alias("note_id"), event.alias("event"), F.col("event_id").alias("at"), kind.alias("error"))
-    rows.coalesce(1).write.parquet(f"{where}/in")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("note_id"), event.alias("event"), F.col("event_id").alias("at"), kind.alias("error"))
+    rows.write.parquet(f"{where}/in")
     out = []
 
     def keep(batch, number):
@@ -253,9 +253,10 @@ def stream_rate_windows(spark, d):
 
     where = scratch(spark, "rates")
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("tokens"))
-    # a last event far ahead closes every window; its own stay open
+    # a last event far ahead, in a file of its own that is read last, closes every window; its own stay open
     end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(1).cast("long").alias("tokens"))
-    rows.orderBy("ts").coalesce(1).write.parquet(f"{where}/in")
+    rows.write.parquet(f"{where}/in")
+    X.run_now(X.rate_windows(X.files(spark, f"{where}/in", rows.schema)), "append", f"{where}/check", f"{where}/out")
     end.coalesce(1).write.mode("append").parquet(f"{where}/in")
     X.run_now(X.rate_windows(X.files(spark, f"{where}/in", rows.schema)), "append", f"{where}/check", f"{where}/out")
     return spark.read.parquet(f"{where}/out").select("key", F.unix_timestamp("window.start").alias("start"), "requests")

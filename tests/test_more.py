@@ -117,7 +117,7 @@ def test_lists(spark):
     rows = spark.createDataFrame([(1, 0.9), (2, 0.6), (3, 0.8)], "note_id long, score double")
     assert [r["note_id"] for r in H.panel(rows, 1).collect()] == [3]
     tags = spark.createDataFrame([(1, "a::b"), (2, "c")], "note_id long, tag string")
-    assert O.shared_tags(tags, "a").count() == 1 and A.notes_under(tags, "a").count() == 1
+    assert O.shared_tags(tags, "a").count() == 1 and A.notes_under(tags, tags.select("note_id", F.lit("f").alias("field_name"), F.lit("v").alias("value_html"), F.lit(1).alias("ord")), tags, "a").count() == 1
 
 
 def test_topic_build(spark):
@@ -173,3 +173,62 @@ def test_vector_sizes(spark, n, dim):
     df = spark.createDataFrame([(i, "m", [1.0] * dim) for i in range(n)], "note_id long, model string, vec array<float>")
     q = spark.createDataFrame([(0, "m", [1.0, 2.0, 3.0])], "query_id int, model string, qvec array<float>")
     assert V.cosine_scan(df, q).count() == 0
+
+
+def _brute(vectors, k):
+    """(model, note_id) -> the k nearest other notes, by numpy."""
+    out = {}
+    for (model, n), part in vectors.withColumn("n", F.size("vec")).toPandas().groupby(["model", "n"]):
+        x, ids = np.array(part["vec"].tolist(), float), part["note_id"].to_numpy()
+        x /= np.sqrt((x**2).sum(1))[:, None]
+        for i in np.flatnonzero(ids % 20 == 0):
+            cos = x @ x[i]
+            cos[i] = -2
+            out[model, n, ids[i]] = ids[np.argsort(-cos, kind="stable")[:k]].tolist()
+    return out
+
+
+def test_approximate_search_recall(spark):
+    """Queries are all notes whose id is divisible by 20, every vector of every model is indexed; hot buckets are cut."""
+    v = V.current_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings2.parquet"))
+    want, share = _brute(v, 10), []
+    for model, dim in (("quill-embed-8b", 64), ("tern-embed-2", 64), ("finch-300m", 48)):
+        got = {}
+        for r in V.lsh_search(v, model, dim, F.col("note_id") % 20 == 0, 10).collect():
+            got.setdefault(r["note_id"], set()).add(r["neighbour_id"])
+        share += [len(got.get(i, set()) & set(ids)) / 10 for (m, n, i), ids in want.items() if m == model and n == dim]
+    assert len(share) > 100 and np.mean(share) >= 0.9
+
+
+def test_semantic_batch_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(V, "STEP", 7)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 20)
+    v = V.current_vectors(spark.read.parquet("/root/testdata/sf0.001/embeddings2.parquet")).where("size(vec) = 64 and model = 'quill-embed-8b'")
+    asks = v.where("note_id % 3 = 0").select(F.col("note_id").alias("query_id"), F.col("vec").alias("qvec"))
+    got = {(r["query_id"], r["place"]): (r["note_id"], r["cos"]) for r in V.semantic_batch(v, asks, 5).collect()}
+    p = v.toPandas()
+    x, ids = np.array(p["vec"].tolist(), float), p["note_id"].to_numpy()
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    for i in np.flatnonzero(ids % 3 == 0):
+        cos = (x @ x[i]).round(12)
+        order = np.lexsort((ids, -cos))[:5]
+        assert [got[ids[i], j + 1][0] for j in range(5)] == ids[order].tolist()
+
+
+def test_hybrid_of_a_note(spark):
+    """A note as the query: its front's words, its stored vector among notes with one of them, no vectors for candidates by words."""
+    from cardloom.operators import index as I
+    from cardloom.operators import search as Q
+
+    texts = {1: "ganglion axon reef osmosis", 2: "ganglion sinus", 3: "reef reef reef", 4: "nothing here at all", 5: "<img src=x>"}
+    notes = spark.createDataFrame([(i,) for i in texts], "note_id long")
+    fields = spark.createDataFrame([(i, "f", t, 0) for i, t in texts.items()], "note_id long, field_name string, value_html string, ord int")
+    vectors = spark.createDataFrame([(1, "b", "m", [1.0, 0.0]), (2, "b", "m", [1.0, 1.0]), (4, "b", "m", [1.0, 0.1])], "note_id long, backend string, model string, vec array<float>")
+    index = I.of_documents(I.documents_index(notes, fields))
+    rows = {r["note_id"]: r for r in Q.hybrid_of_note(spark, index, vectors, fields, 1, "m", 40).collect()}
+    assert rows.keys() == {1, 2, 3} and rows[1]["cos"] is None and abs(rows[2]["cos"] - 0.5**0.5) < 1e-6 and rows[3]["cos"] is None and rows[1]["matched"] >= 1
+    by_text = {r["note_id"]: r for r in Q.hybrid_search(spark, index, vectors, fields, texts[1], "m", lambda t: [[1.0, 0.0]], 40).collect()}
+    assert by_text.keys() == {1, 2, 3, 4} and abs(by_text[1]["cos"] - 1) < 1e-9 and by_text[2]["bm25"] == rows[2]["bm25"]
+    assert Q.hybrid_search(spark, index, vectors, fields, " ", "m", lambda t: [], 40).count() == 0 and Q.hybrid_of_note(spark, index, vectors, fields, 77, "m", 40).count() == 0
+    near = Q.semantic_search(spark, vectors, fields, "x", {"m": lambda t: [[0.0, 1.0]]}, 2).collect()
+    assert [r["note_id"] for r in near] == [2, 4] or {r["note_id"] for r in near} == {2, 4}
