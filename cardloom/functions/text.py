@@ -196,9 +196,11 @@ def answer_digit(c: Column) -> Column:
 
 
 def answer_text(c: Column) -> Column:
-    """Text of a model's JSON answer: output_text, else the first output[].content[].text (or its value)."""
-    deep = F.get_json_object(c, "$.output[0].content[0].text.value")
-    return F.coalesce(F.get_json_object(c, "$.output_text"), deep, F.get_json_object(c, "$.output[0].content[0].text"))
+    """Text of a model's JSON answer: output_text, else the texts (or their values) of all output[].content[], joined by blanks."""
+    deep = F.from_json(c, "struct<output:array<struct<content:array<struct<text:string>>>>>")["output"]
+    texts = F.flatten(F.transform(deep, lambda o: F.transform(F.coalesce(o["content"], F.array().cast("array<struct<text:string>>")), lambda x: F.coalesce(F.get_json_object(x["text"], "$.value"), x["text"]))))
+    joined = F.trim(F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), " "))
+    return F.coalesce(F.nullif(F.trim(F.get_json_object(c, "$.output_text")), F.lit("")), joined)
 
 
 def list_items(c: Column, most: int = 10) -> Column:

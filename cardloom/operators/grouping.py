@@ -41,9 +41,43 @@ def clean_groups(groups: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def parse_groups(answers: DataFrame) -> DataFrame:
-    """(label, note_id) of answers holding {"groups": [{"label", "ids"}]}."""
-    kind = "groups array<struct<label:string,ids:array<bigint>>>"
-    return answers.select(F.from_json(T.answer_text(F.col("answer")), kind).alias("x")).select(F.explode("x.groups").alias("g")).select(F.col("g.label").alias("label"), F.explode("g.ids").alias("note_id"))
+    """(label, note_id) of answers holding {"groups": [{"label", "notes"}]} or that list alone; a blank label is "Other"."""
+    item = "array<struct<label:string,notes:array<bigint>>>"
+    text = T.answer_text(F.col("answer"))
+    groups = F.coalesce(F.from_json(text, f"struct<groups:{item}>")["groups"], F.from_json(text, item))
+    rows = answers.select(F.explode(groups).alias("g")).select(F.trim("g.label").alias("label"), F.explode("g.notes").alias("note_id"))
+    return rows.select(F.when(F.coalesce("label", F.lit("")) == "", "Other").otherwise(F.col("label")).alias("label"), "note_id").where("note_id is not null")
+
+
+def parse_hierarchy(answers: DataFrame) -> DataFrame:
+    """(label, child) of answers that also hold {"hierarchy": [{"label", "children"}]}."""
+    kind = "struct<hierarchy:array<struct<label:string,children:array<string>>>>"
+    return answers.select(F.explode(F.from_json(T.answer_text(F.col("answer")), kind)["hierarchy"]).alias("h")).select(F.col("h.label").alias("label"), F.explode("h.children").alias("child"))
+
+
+#: Notes that are shown to a model at once.
+MOST_NOTES = 60
+
+
+def group_by_model(wanted: DataFrame, fronts: DataFrame, query: str, make) -> DataFrame:
+    """(label, note_id): the first MOST_NOTES wanted notes (note_id, pos) in the groups a language model forms of their fronts.
+
+    make makes the model, see models.Answerer. Ids it leaves out, or all of them if its answer cannot be read, are in "Other".
+    """
+    from cardloom.sources.models import answered
+
+    some = wanted.orderBy("pos", "note_id").limit(MOST_NOTES)
+    lines = some.join(fronts, "note_id", "left").select("pos", "note_id", F.format_string("%d) %s", "note_id", T.plain(F.col("front"))).alias("line"))
+    body = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "note_id", "line"))), lambda s: s["line"]), "\n").alias("x"))
+    prompt = body.select(F.concat(F.lit(f"SEARCH QUERY:\n{query}\n\nNOTES (numbered by note identifier):\n"), F.coalesce("x", F.lit(""))).alias("prompt"))
+    return clean_groups(parse_groups(answered(prompt, "prompt", make)), some.select("note_id"))
+
+
+def badges_by_model(fronts: DataFrame, make) -> DataFrame:
+    """(note_id, badge): a language model's grade of every front text, null where its answer has no digit."""
+    from cardloom.sources.models import answered
+
+    return badges(answered(fronts.select("note_id", T.plain(F.col("front")).alias("prompt")), "prompt", make))
 
 
 def group_list(rows: DataFrame) -> DataFrame:

@@ -50,6 +50,30 @@ def progress(notes: DataFrame, vectors: DataFrame, jobs: DataFrame, rate: float)
     return row.withColumn("remaining", left).withColumn("eta", F.when(F.lit(rate > 0), F.floor(left / F.lit(float(rate or 1)) + 0.5)).cast("long"))
 
 
+def progress_of_models(notes: DataFrame, vectors: DataFrame, jobs: DataFrame, rates: DataFrame) -> DataFrame:
+    """(backend, model, total, embedded, pending, errors, rate, eta) of every configured model: rates (backend, model, rate); eta is 0 without a rate.
+
+    A vector counts once per note, a job by its own state.
+    """
+    key = ["backend", "model"]
+    total = notes.where("note_id is not null").agg(F.countDistinct("note_id").alias("total"))
+    done = vectors.where("note_id is not null").groupBy(*key).agg(F.countDistinct("note_id").alias("embedded"))
+    states = jobs.groupBy(*key).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "error").alias("errors"))
+    rows = rates.join(F.broadcast(total)).join(done, key, "left").join(states, key, "left").na.fill(0, ["embedded", "pending", "errors", "rate"])  # one row of totals
+    left = F.greatest(F.col("total") - F.col("embedded"), F.lit(0))
+    return rows.withColumn("eta", F.when(F.col("rate") > 0, F.floor(left / F.col("rate") + 0.5)).otherwise(0).cast("long"))
+
+
+def rehashed(vectors: DataFrame, hashes: DataFrame, scheme: str | None) -> DataFrame:
+    """vectors with the hash of their note's front text where the stored scheme is an older one; other columns, and vectors of notes without a row in hashes, stay.
+
+    hashes has (note_id, hash) of existing notes, the empty front included; see notes.with_front and text_hash.
+    """
+    if scheme == "front_v1":
+        return vectors
+    return vectors.join(hashes.select("note_id", F.col("hash").alias("_new")), "note_id", "left").withColumn("hash", F.coalesce("_new", "hash")).drop("_new").select(*vectors.columns)
+
+
 def run_rate(jobs: DataFrame, started: str, finished: str) -> DataFrame:
     """(processed, elapsed, rate): rate per second of at least one."""
     row = jobs.where(F.col(finished).isNotNull()).agg(F.count("*").alias("processed"), (F.max(finished) - F.min(started)).alias("elapsed"))

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOUND = "table_name string, note_id long, kind string, n_rows long"
+
+#: Keys of one range: some 100 MB of sorted parents in a task.
+RANGE = 4_000_000
+
 _NONE = np.iinfo(np.int64).max
 
 
@@ -91,7 +95,9 @@ def orphan_references(tables: Mapping[str, tuple[DataFrame, str | None]], notes:
     parent = _parents(notes, deletions).select(F.when(F.col("present"), 0).otherwise(1).alias("role"), "note_id", "first_at", F.lit(None).cast("string").alias("table_name"), F.lit(0).cast("long").alias("n_rows"))
     refs = _references(tables).select(F.lit(2).alias("role"), "note_id", "first_at", "table_name", "n_rows")
     rows = parent.unionByName(refs)
-    width = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # counts of whole tables come from their files' footers; a range gets some RANGE keys at most
+    most = sum(df.count() for df in (notes, deletions, *(t for t, _ in tables.values())))
+    width = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // RANGE))
     return rows.repartitionByRange(width, "note_id").sortWithinPartitions("role", "note_id").mapInArrow(_probe, FOUND)
 
 

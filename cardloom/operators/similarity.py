@@ -35,6 +35,25 @@ def cosine_scan(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("query_id", "model", "note_id", S.cosine(F.col("vec"), F.col("qvec")).alias("cos"))
 
 
+def overlap_cosine(a: Column, b: Column) -> Column:
+    """Cosine over the numbers that both vectors have: the longer one is cut."""
+    n = F.least(F.size(a), F.size(b))
+    return S.cosine(F.slice(a, 1, n), F.slice(b, 1, n))
+
+
+def vectors_for(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(note_id, vec, known) for ids (note_id, pos): vectors cut or filled with zeros to the length of the first id's that has one; zeros where there is none.
+
+    A length is found by one aggregate; the zeros keep each id in its place for what reads by position.
+    """
+    rows = ids.join(vectors.select("note_id", "vec"), "note_id", "left")
+    dim = rows.where("vec is not null").agg(F.min(F.struct("pos", "note_id", F.size("vec").alias("n")))["n"].alias("dim"))
+    sized = rows.join(F.broadcast(dim))  # one row
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce("dim", F.lit(0)))
+    kept = F.slice(F.concat(F.coalesce("vec", F.array().cast("array<float>")), zeros), 1, F.coalesce("dim", F.lit(0)))
+    return sized.select("note_id", kept.alias("vec"), F.col("vec").isNotNull().alias("known"))
+
+
 def cosine_scan_arrow(vectors: DataFrame, query: list[float], model: str) -> DataFrame:
     """(note_id, cos): the same for one query vector by matrix products over Arrow batches."""
     q = np.asarray(query, np.float64)
@@ -150,12 +169,13 @@ def best_over_terms(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
 
 def mean_vector(rows: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """keys, centroid: mean of the vectors of a group that have the length of most common use in it (the greatest of equally common)."""
-    sized = rows.where(F.col(vec).isNotNull()).withColumn("_n", F.size(vec))
-    count = sized.groupBy(*keys, "_n").agg(F.count("*").alias("_c"))
-    want = count.groupBy(*keys).agg(F.max(F.struct("_c", "_n")).alias("_x")).select(*keys, F.col("_x._n").alias("_n"))
-    flat = sized.join(want, [*keys, "_n"]).select(*keys, F.posexplode(vec).alias("_p", "_v"))
-    means = flat.groupBy(*keys, "_p").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("centroid"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    # one pass: the sums of each length, of which the commonest is kept
+    sums = rows.where(F.size(vec) > 0).groupBy(*keys, F.size(vec).alias("_n")).agg(F.count("*").alias("_c"), Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>"))).alias("_m"))
+    means = sums.select(*keys, F.struct("_c", "_n", vector_to_array("_m").alias("m")).alias("_x"))
+    return means.groupBy(*keys).agg(F.max("_x").alias("_x")).select(*keys, F.col("_x.m").alias("centroid"))
 
 
 def term_cosines(terms: DataFrame, qvec: DataFrame) -> DataFrame:

@@ -80,3 +80,18 @@ def flat_groups(tree: DataFrame, expanded: list[str]) -> DataFrame:
     """(path, level, key): rows of the tree whose ancestors are all expanded, in pre-order of key."""
     up = F.filter(prefixes(F.col("path")), lambda p: p != F.col("path"))
     return tree.where(F.size(F.array_except(up, F.array(*[F.lit(e) for e in expanded]).cast("array<string>"))) == 0).select("path", "level", F.lower("path").alias("key"))
+
+
+def flat_rows(tags: DataFrame, notes: DataFrame, expanded: list[str]) -> DataFrame:
+    """(kind, path, level, n, note_id): the tag tree as a list: a header per shown path with its distinct notes, and below an expanded one its own notes.
+
+    A path is shown if all above it are expanded. In order of (path, kind) headers come before their notes, and both before the paths below.
+    """
+    have = notes.where("note_id is not null").select("note_id").distinct()
+    known = current_tags(tags).join(have, "note_id", "left_semi")
+    heads = flat_groups(unique_counts(known).select("path", "n_notes", (F.size(F.split("path", "::"))).alias("level")).drop("n_notes"), expanded).select("path", "level")
+    counts = unique_counts(known).withColumnRenamed("n_notes", "n")
+    shown = heads.join(counts, "path")
+    own = known.join(heads.where(F.col("path").isin(expanded)).select(F.col("path").alias("tag"), "level"), "tag")
+    none = F.lit(None).cast("long")
+    return shown.select(F.lit("header").alias("kind"), "path", "level", "n", none.alias("note_id")).unionByName(own.select(F.lit("note").alias("kind"), F.col("tag").alias("path"), "level", none.alias("n"), "note_id"))

@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import scores as S
 from cardloom.functions import text as T
 from cardloom.operators.similarity import mean_vector
+from cardloom.shared import cut
 
 
 def schedule(n: int) -> dict[str, float | int]:
@@ -38,18 +39,39 @@ def topic_rows(topics: DataFrame) -> DataFrame:
     return topics.where("run_id is not null and topic_id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def class_terms(docs: DataFrame, k: int = 12) -> DataFrame:
-    """(class, term, score, rank): c-TF-IDF terms of classes from rows (class, tokens).
+def ngrams(tokens: str, longest: int) -> Column:
+    """All runs of one to `longest` tokens, joined by blanks."""
+    one = F.col(tokens)
+    runs = [F.transform(F.sequence(F.lit(1), F.size(one) - n + 1), lambda i, n=n: F.array_join(F.slice(one, i, n), " ")) for n in range(2, longest + 1)]
+    return F.concat(one, *[F.when(F.size(one) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 2)])
 
+
+def class_scores(docs: DataFrame, longest: int = 1, min_df: int = 1, max_features: int | None = None) -> DataFrame:
+    """(class, term, score): c-TF-IDF of the terms of classes from rows (class, tokens).
+
+    Terms are runs of up to `longest` tokens that at least min_df rows have, of these the max_features most frequent.
     score = share of the term in its class times ln(1 + mean words per class / occurrences of the term).
     """
-    words = docs.select("class", F.explode("tokens").alias("term"))
+    words = docs.select("class", F.explode(ngrams("tokens", longest)).alias("term"))
+    if min_df > 1 or max_features:
+        rows = docs.select(F.explode(F.array_distinct(ngrams("tokens", longest))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+        if max_features:
+            rows = rows.orderBy(F.desc("df"), "term").limit(max_features)
+        words = words.join(rows.select("term"), "term", "left_semi")
     tf = words.groupBy("class", "term").agg(F.count("*").alias("tf"))
     size = tf.groupBy("class").agg(F.sum("tf").alias("size"))
     mean = size.agg(F.avg("size").alias("mean"))
     total = tf.groupBy("term").agg(F.sum("tf").alias("total"))
     rows = tf.join(size, "class").join(total, "term").join(F.broadcast(mean))  # one row
-    scored = rows.select("class", "term", (F.col("tf") / F.col("size") * F.ln(1 + F.col("mean") / F.col("total"))).alias("score"))
+    return rows.select("class", "term", (F.col("tf") / F.col("size") * F.ln(1 + F.col("mean") / F.col("total"))).alias("score"))
+
+
+def class_terms(docs: DataFrame, k: int = 12, **options) -> DataFrame:
+    """(class, term, score, rank): the k best terms of each class, see class_scores()."""
+    return best_terms(class_scores(docs, **options), k)
+
+
+def best_terms(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "term"))).where(F.col("rank") <= k)
 
 
@@ -175,43 +197,71 @@ def ward_merges(centers: np.ndarray, sizes: np.ndarray, first_parent: int) -> li
     return out
 
 
-def leaf_count(n: int) -> int:
-    """Leaf topics of a map of n notes, as the schedule's topic size suggests."""
-    return max(2, n // int(schedule(n)["min_topic_size"]) // 4)
+#: Numbers that a class's c-TF-IDF vector is hashed to, for the tree of topics.
+HASHED = 128
+
+
+def class_vectors(scored: DataFrame) -> dict[int, np.ndarray]:
+    """class -> its unit c-TF-IDF vector, by signed hashing to HASHED numbers: a row per topic."""
+    h = F.xxhash64("term")
+    rows = scored.groupBy("class", F.pmod(h, F.lit(HASHED)).cast("int").alias("at")).agg(F.sum(F.when(F.col("score").isNull(), 0.0).otherwise(F.col("score")) * F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("v"))
+    t = rows.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m")).select("class", F.transform(F.sequence(F.lit(0), F.lit(HASHED - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("x")).toPandas()
+    x = np.array(t["x"].tolist()).reshape(len(t), HASHED)
+    x /= np.maximum(np.sqrt((x**2).sum(1)), 1e-300)[:, None]
+    return dict(zip(t["class"].astype(int), x))
 
 
-def build(docs: DataFrame, k: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def build(docs: DataFrame, k: int | None = None, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Topics and memberships of a corpus (note_id, vec, tokens): ((topic_id, parent_id, label, level, size), (topic_id, note_id, cos)).
 
-    Leaves are bisecting k-means clusters of unit vectors, as many as the schedule's topic size
-    suggests; parents come from Ward's agglomeration of the leaves' centroids; labels are the four
-    best c-TF-IDF terms. One note gives one topic "All Notes".
+    Parameters are those of schedule() with params put in. Unit vectors are reduced to n_components principal
+    components; leaves are bisecting k-means clusters of these, as many as min_topic_size suggests, and leaves
+    of fewer than min_cluster_size notes are no topics: their notes go to topic -1, unless all would. Terms are runs
+    of up to three words (min_df, max_features), scored by c-TF-IDF; parents come from Ward's agglomeration of
+    the leaves' c-TF-IDF vectors; labels are the four best terms of top_terms. One note gives one topic "All Notes".
+    The parameters of the neighbour graph and of density (n_neighbors, min_dist, min_samples) have no counterpart here.
     """
     from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     spark = docs.sparkSession
-    rows = docs.where("vec is not null and size(tokens) > 0").withColumn("unit", F.transform("vec", lambda v: v.cast("double") / S.norm(F.col("vec"))))
+    rows = cut(docs.where("vec is not null and size(tokens) > 0").select("note_id", "tokens", F.transform("vec", lambda v: v.cast("double") / S.norm(F.col("vec"))).alias("unit")), "map")
     n = rows.count()
     topic_schema, member_schema = "topic_id int, parent_id int, label string, level int, size int", "topic_id int, note_id long, cos double"
     if n == 0:
         return spark.createDataFrame([], topic_schema), spark.createDataFrame([], member_schema)
     if n == 1:
         return spark.createDataFrame([(0, None, "All Notes", 0, 1)], topic_schema), rows.select(F.lit(0).alias("topic_id"), "note_id", F.lit(1.0).alias("cos"))
-    want = k or leaf_count(n)
-    model = BisectingKMeans(k=want, seed=seed, featuresCol="features", predictionCol="topic_id", distanceMeasure="cosine", maxIter=8).fit(rows.select(array_to_vector("unit").alias("features")))
-    placed = model.transform(rows.withColumn("features", array_to_vector("unit"))).drop("features").persist()
+    p = merged_params(schedule(n), params or {})
+    want = k or max(2, n // int(p["min_topic_size"]) // 4)
+    features = rows.withColumn("features", array_to_vector("unit"))
+    dim = len(rows.head()["unit"])
+    if dim > p["n_components"]:
+        features = PCA(k=int(p["n_components"]), inputCol="features", outputCol="reduced").fit(features).transform(features).drop("features").withColumnRenamed("reduced", "features")
+    model = BisectingKMeans(k=want, seed=int(p["seed"]), featuresCol="features", predictionCol="topic_id", maxIter=8).fit(features.select("features"))
+    placed = cut(model.transform(features).select("note_id", "tokens", "unit", "topic_id"), "placed")
     sizes = placed.groupBy("topic_id").count().toPandas().set_index("topic_id")["count"]  # a row per leaf
-    centers = np.array(model.clusterCenters())
-    terms = class_terms(placed.select(F.col("topic_id").alias("class"), "tokens"), 4).groupBy("class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("label")).toPandas().set_index("class")["label"]
-    ids = sorted(int(i) for i in sizes.index)
-    merges = ward_merges(centers[ids], sizes.loc[ids].to_numpy(), max(ids) + 1)
+    large = sizes[sizes >= p["min_cluster_size"]]
+    if len(large) < 2:
+        large = sizes
+    ids = sorted(int(i) for i in large.index)
+    kept = spark.createDataFrame([(i,) for i in ids], "topic_id int").withColumn("kept", F.lit(True))
+    placed = placed.join(F.broadcast(kept), "topic_id", "left").withColumn("topic_id", F.when(F.col("kept"), F.col("topic_id")).otherwise(-1)).drop("kept")  # a row per leaf
+    scored = cut(class_scores(placed.where("topic_id >= 0").select(F.col("topic_id").alias("class"), "tokens"), 3, int(p["min_df"]), int(p["max_features"])), "scores")
+    best = best_terms(scored, int(p["top_terms"])).where("rank <= 4")
+    terms = best.groupBy("class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("label")).toPandas().set_index("class")["label"]
+    vectors = class_vectors(scored)
+    merges = ward_merges(np.array([vectors.get(i, np.zeros(HASHED)) for i in ids]), large.loc[ids].to_numpy(), max(ids) + 1)
     name = lambda i: ids[i] if i < len(ids) else i
-    fixed = [(p, " / ".join(str(terms.get(x, "")) for x in (name(a), name(b)) if x in terms.index)[:80], name(a), name(b), d) for p, a, b, d in _renumber(merges, ids)]
-    tree = tree_from_merges(pd.DataFrame({"topic_id": ids, "size": sizes.loc[ids].to_numpy(), "label": [terms.get(i, "") for i in ids]}), pd.DataFrame(fixed, columns=["parent", "name", "left", "right", "distance"]))
+    fixed = [(q, " / ".join(str(terms.get(x, "")) for x in (name(a), name(b)) if x in terms.index)[:80], name(a), name(b), d) for q, a, b, d in _renumber(merges, ids)]
+    tree = tree_from_merges(pd.DataFrame({"topic_id": ids, "size": large.loc[ids].to_numpy(), "label": [terms.get(i, "") for i in ids]}), pd.DataFrame(fixed, columns=["parent", "name", "left", "right", "distance"]))
     data = [(int(r.topic_id), None if pd.isna(r.parent_id) else int(r.parent_id), str(r.label or ""), int(r.level), int(r.size)) for r in tree[["topic_id", "parent_id", "label", "level", "size"]].itertuples(index=False)]
-    at = spark.createDataFrame([(i, [float(v) for v in centers[i]]) for i in ids], "topic_id int, center array<double>")
-    members = placed.join(at, "topic_id").select("topic_id", "note_id", S.cosine(F.col("unit"), F.col("center")).alias("cos"))
+    loose = int(n - large.sum())
+    if loose:
+        data.append((-1, None, "Outliers", 0, loose))
+    center = mean_vector(placed.where("topic_id >= 0"), ["topic_id"], "unit").withColumnRenamed("centroid", "center")
+    members = placed.join(center, "topic_id", "left").select("topic_id", "note_id", S.cosine(F.col("unit"), F.col("center")).alias("cos"))
     return spark.createDataFrame(data, topic_schema), members
 
 
@@ -266,6 +316,23 @@ def details(topics: DataFrame, docs: DataFrame, visible: DataFrame, run_id: str)
     return out.select("topic_id", "parent_id", "label", "size", F.coalesce("children", F.lit("")).alias("children"), F.coalesce("n_notes", F.lit(0)).alias("n_notes"), F.coalesce("n_visible", F.lit(0)).alias("n_visible"))
 
 
+def map_roots(topics: DataFrame) -> DataFrame:
+    """(run_id, topic_id): topics without a parent, or whose parent their run has not."""
+    rows = topic_rows(topics).select("run_id", "topic_id", "parent_id")
+    known = rows.select("run_id", F.col("topic_id").alias("parent_id"))
+    return rows.join(known, ["run_id", "parent_id"], "left_anti").select("run_id", "topic_id")
+
+
+def map_notes(docs: DataFrame, fronts: DataFrame) -> DataFrame:
+    """(run_id, topic_id, note_id, weight, cos, front): the notes of every topic that have a visible front; of repeated rows the greatest weight, then cosine.
+
+    fronts holds existing notes only, see notes.with_front.
+    """
+    best = F.max(F.struct(F.coalesce("weight", F.lit(float("-inf"))).alias("w"), F.coalesce("cos", F.lit(float("-inf"))).alias("c"), "weight", "cos"))
+    rows = docs.groupBy("run_id", "topic_id", "note_id").agg(best.alias("x")).select("run_id", "topic_id", "note_id", "x.weight", "x.cos")
+    return rows.join(fronts.where(T.is_visible(F.col("front"))), "note_id").select("run_id", "topic_id", "note_id", "weight", "cos", "front")
+
+
 def history(runs: DataFrame, k: int = 5) -> DataFrame:
     """The latest k runs per scope, backend and model: (scope_hash, run_id, created_at, place)."""
     one = runs.select("scope_hash", "backend", "model", "run_id", "created_at").distinct()

@@ -172,6 +172,16 @@ def tag_rows_expanded(spark, d):
     return G.flat_groups(G.tag_tree(table(spark, d, "note_tags")).withColumnRenamed("depth", "level"), ["Physics", "Biochem"])
 
 
+@query("""with ct as (select distinct note_id, tag from note_tags semi join notes using (note_id) where tag is not null),
+x as (select note_id, array_to_string(parts[1:i], '::') as path, i as level, parts[1:i-1] as above from (select note_id, parts, unnest(range(1, len(parts) + 1)) as i from (select note_id, string_split(tag, '::') as parts from ct))),
+h as (select path, level, count(distinct note_id) as n from x where array_to_string(above, '::') in ('', 'Physics', 'Biochem') and (len(above) < 2) group by all)
+select 'header' as kind, path, cast(level as int) as level, n, null::bigint as note_id from h
+union all select 'note', tag, cast(1 as int), null, note_id from ct where tag in ('Physics', 'Biochem')""")
+def tag_rows_with_notes(spark, d):
+    """The tag tree as a list with two paths expanded."""
+    return G.flat_rows(table(spark, d, "note_tags"), table(spark, d, "notes"), ["Physics", "Biochem"])
+
+
 @query("select note_id, tag, string_split(tag, '::')[1] as head, string_split(tag, '::')[-1] as leaf from (select distinct note_id, tag from note_tags where note_id is not null and tag is not null)")
 def tag_parts(spark, d):
     t = F.col("tag")

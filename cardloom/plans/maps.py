@@ -163,6 +163,19 @@ def topic_map_details(spark, d):
     return M.details(t, table(spark, d, "topic_docs"), N.visible_notes(table(spark, d, "note_fields")), run or "")
 
 
+@query(f"with {_TOPICS} select run_id, topic_id from tr where parent_id is null or not exists (select 1 from tr p where p.run_id = tr.run_id and p.topic_id = tr.parent_id)")
+def topic_map_roots(spark, d):
+    return M.map_roots(table(spark, d, "topics"))
+
+
+@query(f"""with {S.LISTED}, o as (select *, row_number() over (partition by run_id, topic_id, note_id order by weight desc nulls last, cos desc nulls last) as rn from topic_docs)
+select run_id, topic_id, note_id, round(weight, 6) as weight, round(cos, 6) as cos, front from o join listed using (note_id) where rn = 1 and {S.VISIBLE}""")
+def topic_map_notes(spark, d):
+    fronts = N.with_front(table(spark, d, "topic_docs").where("note_id is not null"), table(spark, d, "notes"), table(spark, d, "note_fields"))
+    rows = M.map_notes(table(spark, d, "topic_docs"), fronts)
+    return rows.withColumns({"weight": F.round("weight", 6), "cos": F.round("cos", 6)})
+
+
 @query(f"""with {S.FIELDS}, {S.FRONT}, w as (select run_id, topic_id, note_id, max(weight) as weight from topic_docs group by all), t as (select note_id, {S.strip_html('front')} as text from front)
 select run_id, topic_id, note_id, text, cast(row_number() over (partition by run_id, topic_id order by weight desc nulls last, note_id) as int) as place from w join t using (note_id) where text <> '' qualify place <= 12""")
 def topic_preview_notes(spark, d):
@@ -177,19 +190,24 @@ def topic_scope_labels(spark, d):
     return M.scope_label(table(spark, d, "topic_runs")).select("run_id", "scope_label").distinct()
 
 
+def _maps(spark, d, part):
+    """A map over all notes with a front of every model."""
+    index, out = I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields")), None
+    for model in _DIMS:
+        rows = M.build(_vectors(spark, d, model).select("note_id", "vec").join(index, "note_id"))[part].withColumn("model", F.lit(model))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query()
 def topic_map_build(spark, d):
-    """A map over all notes of one model with a front: bisecting clusters, Ward's tree, c-TF-IDF labels."""
-    index = I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields"))
-    docs = _vectors(spark, d, "finch-300m").select("note_id", "vec").join(index, "note_id")
-    return M.build(docs)[0]
+    """Bisecting clusters of reduced vectors, c-TF-IDF labels of up to three words, Ward's tree over c-TF-IDF."""
+    return _maps(spark, d, 0)
 
 
 @query()
 def topic_map_members(spark, d):
-    index = I.documents_index(table(spark, d, "notes"), table(spark, d, "note_fields"))
-    docs = _vectors(spark, d, "finch-300m").select("note_id", "vec").join(index, "note_id")
-    return M.build(docs)[1].withColumn("cos", F.round("cos", 6))
+    return _maps(spark, d, 1).withColumn("cos", F.round("cos", 6))
 
 
 @query(f"with {_TOPICS} select run_id, topic_id, {S.collapse('lower(label)')} as label from tr")

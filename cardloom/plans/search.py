@@ -273,14 +273,31 @@ def vector_norms(spark, d):
     return V.norms(V.from_blobs(V.to_blobs(_vectors(spark, d)).drop("vec"))).select("note_id", "model", F.round("norm", 5).alias("norm"))
 
 
+@query(f"""with {S.VECTORS}, q as (select vec from cv where model = 'finch-300m' and len(vec) = 48 order by note_id limit 1), m as (select note_id, model, vec, least(len(cv.vec), 48) as n from cv)
+select m.note_id, m.model, round({S.cosine('m.vec[1:n]', 'q.vec[1:n]')}, 6) as cos from m cross join q""")
+def cosine_overlap(spark, d):
+    """A shorter vector against those of all models, over the numbers both have."""
+    v = _vectors(spark, d)
+    q = v.where("model = 'finch-300m' and size(vec) = 48").orderBy("note_id").limit(1).select(F.col("vec").alias("qvec"))
+    return v.join(F.broadcast(q)).select("note_id", "model", F.round(V.overlap_cosine(F.col("vec"), F.col("qvec")), 6).alias("cos"))  # one row
+
+
+@query(f"""with {S.VECTORS}, ids as (select distinct note_id, note_id as pos from notes where note_id is not null), x as (select ids.note_id, pos, vec from ids left join (select note_id, vec from cv where model = 'tern-embed-2') using (note_id)),
+n as (select len(vec) as dim from x where vec is not null order by pos limit 1)
+select note_id, vec is not null as known, cast(dim as int) as dim, round(coalesce(list_sum(vec[1:dim]::double[]), 0), 4) as total from x cross join n""")
+def vectors_of_ids(spark, d):
+    """A vector for every note, zeros where there is none."""
+    ids = table(spark, d, "notes").where("note_id is not null").select("note_id").distinct().withColumn("pos", F.col("note_id"))
+    rows = V.vectors_for(ids, _vectors(spark, d).where("model = 'tern-embed-2'"))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("note_id", "known", F.size("vec").alias("dim"), F.round(total, 4).alias("total"))
+
+
 @query()
 def keyword_clusters(spark, d):
-    """The notes of each topic as a list of terms, clustered greedily by their vectors of one model."""
-    v = _vectors(spark, d).where("model = 'quill-embed-8b' and size(vec) = 64").select("note_id", "vec")
-    docs = table(spark, d, "topic_docs").select("run_id", "topic_id", "note_id").distinct().join(v, "note_id")
-    place = F.row_number().over(R.Window.partitionBy("run_id", "topic_id").orderBy("note_id"))
-    rows = docs.select(F.xxhash64("run_id", "topic_id").alias("list_id"), place.alias("place"), F.col("note_id").cast("string").alias("term"), "vec")
-    return V.greedy_clusters(rows, 0.6)
+    """The keywords of each note's front as a list of at most eight terms, clustered greedily by their vectors."""
+    words = N.front(table(spark, d, "note_fields")).select(F.col("note_id").alias("list_id"), F.posexplode(K.keyword_column(T.plain(F.col("front")), 8)).alias("place", "term"))
+    return V.greedy_clusters(M.embedded(words, "term", M.HashingEmbedder, "query").select("list_id", "place", "term", "vec"), 0.6)
 
 
 @query()

@@ -116,6 +116,30 @@ def job_progress(spark, d):
     return J.progress(notes, N.restrict(table(spark, d, "embeddings2"), notes), _jobs(spark, d), 4.0)
 
 
+@query(f"""with {_JOBS}, r(backend, model, rate) as (select e.backend, e.model, case e.model when 'quill-embed-8b' then 4.0 when 'tern-embed-2' then 0.0 else 1.5 end from (select distinct backend, model from embeddings2) e),
+t as (select count(distinct note_id) as total from notes where note_id is not null), v as (select backend, model, count(distinct note_id) as embedded from embeddings2 where note_id is not null group by all),
+j as (select case user_id % 3 when 0 then 'quill-embed-8b' when 1 then 'tern-embed-2' else 'other' end as model, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'error') as errors from jobs group by 1)
+select r.backend, r.model, total, coalesce(embedded, 0) as embedded, coalesce(pending, 0) as pending, coalesce(errors, 0) as errors, rate::double as rate, cast(case when rate > 0 then floor(greatest(total - coalesce(embedded, 0), 0) / rate + 0.5) else 0 end as bigint) as eta
+from r cross join t left join v using (backend, model) left join j on j.model = r.model""")
+def job_progress_all(spark, d):
+    """Every model of the vectors with its own rate; jobs by user stand for the models' queues."""
+    v = table(spark, d, "embeddings2")
+    known = v.select("backend", "model").distinct()
+    rates = known.withColumn("rate", F.when(F.col("model") == "quill-embed-8b", 4.0).when(F.col("model") == "tern-embed-2", 0.0).otherwise(1.5))
+    model = F.when(F.col("user_id") % 3 == 0, "quill-embed-8b").when(F.col("user_id") % 3 == 1, "tern-embed-2").otherwise("other")
+    jobs = _jobs(spark, d).withColumn("model", model).join(known, "model")
+    return J.progress_of_models(table(spark, d, "notes"), v, jobs, rates)
+
+
+@query(f"""with {S.LISTED}, h as (select note_id, sha256({S.strip_html('front')}) as new from listed)
+select e.note_id, e.model, e.updated_at, coalesce(h.new, e.hash) as hash from embeddings2 e left join h on h.note_id = e.note_id""")
+def hash_scheme_migrated(spark, d):
+    """Vectors hashed by an older scheme get the hash of their note's front."""
+    fronts = N.with_front(table(spark, d, "notes"), table(spark, d, "notes"), table(spark, d, "note_fields"))
+    hashes = fronts.select("note_id", F.sha2(T.plain(F.col("front")), 256).alias("hash"))
+    return J.rehashed(table(spark, d, "embeddings2"), hashes, "content_v1").select("note_id", "model", "updated_at", "hash")
+
+
 @query(f"with {_JOBS} select count(*) as processed, max(enqueued_at) - min(enqueued_at) as elapsed, round(count(*) / greatest(1, max(enqueued_at) - min(enqueued_at)), 6) as rate from jobs")
 def job_run_rate(spark, d):
     rows = J.run_rate(_jobs(spark, d), "enqueued_at", "enqueued_at")
@@ -190,6 +214,15 @@ def badge_order(spark, d):
     return G.badge_order(rows).select("note_id", "badge", "place")
 
 
+@query(f"""with {S.FIELDS}, {S.FRONT}, a as (select note_id, len(list_filter(string_split({S.strip_html('front')}, ' '), lambda x: x <> '')) % 4 as badge from front)
+select note_id, cast(badge as int) as badge from a""")
+def badges_by_model(spark, d):
+    """Every front graded by a stand-in of a language model."""
+    from cardloom.sources.models import EchoAnswerer
+
+    return G.badges_by_model(N.front(table(spark, d, "note_fields")), EchoAnswerer)
+
+
 @query("""with tc as (select tag, count(distinct note_id) as n from note_tags where note_id is not null and tag is not null group by 1)
 select t.tag as path, cast(sum(c.n) as bigint) as n from tc t join tc c on c.tag = t.tag or starts_with(c.tag, t.tag || '::') group by 1""")
 def group_additive_counts(spark, d):

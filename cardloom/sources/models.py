@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -86,6 +87,26 @@ def reranked(rows: DataFrame, text: str, query: str, make: Callable[[], Reranker
     return rows.select("note_id", text).mapInPandas(run, "note_id long, rerank double")
 
 
+class EchoAnswerer:
+    """Answers with the digits of the prompt's length, as a grading model does: the same everywhere."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [json.dumps({"output_text": f"BEGIN_DIGITS <{len(p.split()) % 4}> END_DIGITS"}) for p in prompts]
+
+
+def answered(rows: DataFrame, prompt: str, make: Callable[[], Answerer], batch: int = 8) -> DataFrame:
+    """rows with `answer`; the model is made once per task, and called with at most `batch` prompts."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for b in batches:
+            texts = [t or "" for t in b[prompt]]
+            yield b.assign(answer=[a for i in range(0, len(texts), batch) for a in model(texts[i : i + batch])])
+
+    return rows.mapInPandas(run, schema)
+
+
 def cached_terms(terms: DataFrame, cache: DataFrame, make: Callable[[], Embedder], dim: int) -> DataFrame:
     """(term, vec): vectors of lower-cased terms from the cache where their dim fits, else from the model."""
     want = terms.select(F.lower("term").alias("term")).where("term is not null").distinct()

@@ -108,7 +108,7 @@ def test_upserts(spark):
 
 
 def test_parse_groups(spark):
-    text = json.dumps({"output_text": json.dumps({"groups": [{"label": "A", "ids": [1, 2]}, {"label": "B", "ids": []}]})})
+    text = json.dumps({"output_text": json.dumps({"groups": [{"label": "A", "notes": [1, 2]}, {"label": "B", "notes": []}]})})
     rows = spark.createDataFrame([(text,), ("junk",)], "answer string")
     assert {tuple(r) for r in G.parse_groups(rows).collect()} == {("A", 1), ("A", 2)}
 
@@ -220,7 +220,7 @@ def test_hybrid_of_a_note(spark):
     from cardloom.operators import index as I
     from cardloom.operators import search as Q
 
-    texts = {1: "ganglion axon reef osmosis", 2: "ganglion sinus", 3: "reef reef reef", 4: "nothing here at all", 5: "<img src=x>"}
+    texts = {1: "ganglion axon reef steatosis", 2: "ganglion sinus", 3: "reef reef reef", 4: "nothing here at all", 5: "<img src=x>"}
     notes = spark.createDataFrame([(i,) for i in texts], "note_id long")
     fields = spark.createDataFrame([(i, "f", t, 0) for i, t in texts.items()], "note_id long, field_name string, value_html string, ord int")
     vectors = spark.createDataFrame([(1, "b", "m", [1.0, 0.0]), (2, "b", "m", [1.0, 1.0]), (4, "b", "m", [1.0, 0.1])], "note_id long, backend string, model string, vec array<float>")
