@@ -428,19 +428,27 @@ def clusters(vectors: DataFrame, **options) -> DataFrame:
     return found.members.select("model", "note_id", "cluster_id", "cosine")
 
 
-def cluster_report(vectors: DataFrame, typical: int = 3, **options) -> DataFrame:
-    """(model, cluster_id, size, typical_ids): each cluster by size and its members of the highest internal weighted degree.
+def cluster_report(vectors: DataFrame, typical: int = 3, names: DataFrame | None = None, **options) -> DataFrame:
+    """(model, cluster_id, size, label, typical_ids): each cluster by size and its members of the highest internal weighted degree.
 
     The degree sums a note's edges to all notes of its cluster, whichever cell or piece found them.
-    typical_ids are ordered by falling degree, then by note_id.
+    typical_ids are ordered by falling degree, then by note_id. label is the name, from names (note_id, name), of
+    the first of them that has one that is not blank, else the first id.
     """
     found = similarity_clusters(vectors, edges=True, **options)
     if found is None:
-        return vectors.sparkSession.createDataFrame([], "model string, cluster_id long, size long, typical_ids array<long>")
+        return vectors.sparkSession.createDataFrame([], "model string, cluster_id long, size long, label string, typical_ids array<long>")
     edges = found.pieces.where("kind = 3").groupBy("code", "note_id", F.col("piece").alias("other")).agg(F.max("weight").alias("weight"))  # two cells may have found one
     mine = found.members.select("code", "note_id", "root")
     degree = edges.join(mine, ["code", "note_id"]).join(mine.withColumnRenamed("note_id", "other"), ["code", "other", "root"]).groupBy("code", "note_id").agg(F.sum("weight").alias("inside"))
     with_degree = found.members.join(degree, ["code", "note_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
     w = Window.partitionBy("model", "cluster_id").orderBy(F.desc("inside"), "note_id")
     top = with_degree.withColumn("place", F.row_number().over(w)).where(F.col("place") <= typical)
-    return top.groupBy("model", "cluster_id").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("place", "note_id"))), lambda s: s["note_id"]).alias("typical_ids"))
+    if names is None:
+        top = top.withColumn("name", F.lit(None).cast("string"))
+    else:
+        top = top.join(names.where("note_id is not null").groupBy("note_id").agg(F.min(F.nullif(F.trim("name"), F.lit(""))).alias("name")), "note_id", "left")
+    first = F.min(F.when(F.col("name").isNotNull(), F.struct("place", "name")))["name"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "note_id"))), lambda s: s["note_id"])
+    out = top.groupBy("model", "cluster_id").agg(F.max("size").alias("size"), first.alias("label"), listed.alias("typical_ids"))
+    return out.withColumn("label", F.coalesce("label", F.element_at("typical_ids", 1).cast("string"))).select("model", "cluster_id", "size", "label", "typical_ids")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cardloom.functions.text import plain
 from cardloom.llm import clusters as G
 from cardloom.llm import lookalikes as L
 from cardloom.llm import mixing as M
@@ -11,6 +12,7 @@ from cardloom.llm import nearcopies as C
 from cardloom.llm import neighbours as N
 from cardloom.llm import packing as K
 from cardloom.llm.vectors import MODEL_DIMS
+from cardloom.operators.notes import front
 from cardloom.shared import table
 
 
@@ -19,7 +21,8 @@ def p1_found(spark, d):
 
 
 def p1_topics(spark, d):
-    return G.cluster_report(table(spark, d, "embeddings2"), dims=MODEL_DIMS)
+    names = front(table(spark, d, "note_fields")).select("note_id", plain(F.col("front")).alias("name"))
+    return G.cluster_report(table(spark, d, "embeddings2"), names=names, dims=MODEL_DIMS)
 
 
 def p4_found(spark, d):
@@ -70,4 +73,13 @@ def p8_scripts(spark, d):
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_topics, p4_found, p4_nearest, p5_found, p5_classes, p6_containers, p6_report, p7_mix, p7_shares, p8_found, p8_classes, p8_scripts)}
 
-SQL: dict[str, str] = {}
+#: Brute force over all pairs of vectors.
+_VECTORS = """u as (select model, note_id, vec::double[] as vec, updated_at from embeddings2 where note_id is not null and vec is not null and len(vec) = case model when 'quill-embed-8b' then 64 when 'tern-embed-2' then 64 when 'finch-300m' then 48 end),
+ok as (select *, list_sum(list_transform(vec, lambda x: abs(x))) as total from u), cv as (select model, note_id, vec from (select *, row_number() over (partition by model, note_id order by updated_at desc nulls last, vec desc) as rn from ok where total is not null and not isnan(total) and not isinf(total) and total > 0) where rn = 1),
+e as (select model, note_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) as v from cv)"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""with {_VECTORS}, pairs as (select a.model, a.note_id as a, b.note_id as b, list_dot_product(a.v, b.v) as cos from e a join e b on a.model = b.model and a.note_id < b.note_id where list_dot_product(a.v, b.v) >= 0.95),
+pairs_both as (select model, a, b, cos from pairs union all select model, b, a, cos from pairs), top as (select * from pairs_both qualify row_number() over (partition by model, a order by cos desc, b) <= 5)
+select distinct model, least(a, b) as note_id_a, greatest(a, b) as note_id_b from top""",
+}

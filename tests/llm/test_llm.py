@@ -148,7 +148,9 @@ def test_typical_members_of_several_cells(spark, monkeypatch):
     best = lambda edges: [int(i) for i in np.argsort(-(cos * edges).sum(1), kind="stable")[:3]]
     assert best(met) != best(at_home)
     got = clusters.cluster_report(vectors(spark, [(i, "m", v, 1) for i, v in enumerate(x)]), dims={"m": 16}).collect()
-    assert [(r["size"], r["typical_ids"]) for r in got] == [(11, best(met))]
+    assert [(r["size"], r["typical_ids"], r["label"]) for r in got] == [(11, best(met), str(best(met)[0]))]
+    names = spark.createDataFrame([(best(met)[0], " "), (best(met)[1], "second"), (best(met)[2], "third")], "note_id long, name string")
+    assert clusters.cluster_report(vectors(spark, [(i, "m", v, 1) for i, v in enumerate(x)]), names=names, dims={"m": 16}).head()["label"] == "second"
 
 
 # p4 -----------------------------------------------------------------------------------------------
@@ -249,8 +251,8 @@ def brute_pairs(texts, percent, least):
     return {(min(i, j), max(i, j)) for (i, a), (j, b) in itertools.combinations(sets, 2) if i != j and len(a) >= least and len(b) >= least and 100 * len(a & b) >= percent * len(a | b)}
 
 
-@pytest.mark.parametrize("frequent", [0, 3, 10**9])
-def test_near_copies(spark, frequent):
+@pytest.mark.parametrize("frequent, hot", [(0, 10**9), (3, 10**9), (10**9, 10**9), (0, 0), (3, 2)])
+def test_near_copies(spark, frequent, hot):
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(120)]
     texts, base = [], []
@@ -266,7 +268,7 @@ def test_near_copies(spark, frequent):
         texts.append((int(rng.integers(0, 380)), base[-1]))
     texts += [(900, "x " * 30000), (901, None), (None, base[0]), (902, ""), (903, " ".join(vocab) * 40), *texts[:5]]
     df = spark.createDataFrame([(i, t, "key", "words") for i, t in texts], "note_id long, value_html string, key string, words string")
-    got = {tuple(r) for r in nearcopies.near_copies(df, "note_id", "value_html", 70, 8, frequent=frequent).collect()}
+    got = {tuple(r) for r in nearcopies.near_copies(df, "note_id", "value_html", 70, 8, frequent=frequent, hot=hot).collect()}
     want = brute_pairs(texts, 70, 8)
     assert got == want and len(want) > 50
 
