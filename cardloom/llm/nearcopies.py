@@ -32,6 +32,9 @@ BUCKETS = 1 << 18
 #: A word of more sets than this is a key only together with another.
 FREQUENT = 100
 
+#: A key of several words that more groups than this have grows by one word, up to so many words.
+HOT, MOST_WORDS = 4_000, 8
+
 #: Notes with one text up to which every pair of them is a row; of a text with more each note is paired with the smallest.
 COPIES = 50
 
@@ -98,21 +101,18 @@ def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)).view(np.int64)
 
 
-def prefix_keys(w: np.ndarray, rare: np.ndarray, probe: int, index: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set's ordered words: those of the indexing prefix, and those only the probing prefix has.
+def prefix_keys(w: np.ndarray, rare: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, place of the last word of each) of a set's ordered words.
 
-    Sets that are similar enough have a word in common in these prefixes, and two in prefixes longer by
-    one. So a rare word is a key by itself; a frequent one is a key with each later word of the longer
-    prefix. The first word in common gives both sets the same key.
+    Sets that are similar enough have a word in common in their prefixes, and m words in prefixes longer by
+    m - 1. So a rare word is a key by itself; a frequent one is a key with each later word of the longer
+    prefix. The first words in common give both sets the same key.
     """
     i, j = np.triu_indices(min(probe + 1, len(w)), 1)
     often = ~rare[i] & (i < probe)
     i, j = i[often], j[often]
-    pairs = _pair_keys(w[i], w[j])
-    short = (i < index) & (j < index + 1)
-    single = w[:probe][rare[:probe]]
-    n = int(rare[:index].sum())
-    return np.concatenate([single[:n], pairs[short]]), np.concatenate([single[n:], pairs[~short]])
+    alone = np.flatnonzero(rare[:probe])
+    return np.concatenate([w[alone], _pair_keys(w[i], w[j])]), np.concatenate([alone, j]).astype(np.int32)
 
 
 def _bitmap(w: np.ndarray) -> tuple[int, int]:
@@ -138,13 +138,17 @@ def _group_rows(counts, percent: int, frequent: int):
                 w = flat[at[i] : at[i + 1]]
                 count = table[w & (BUCKETS - 1)]
                 order = np.lexsort((w, count))
-                probe, index = prefix_lengths(len(w), percent)
+                probe, _ = prefix_lengths(len(w), percent)
                 p = w[order[: probe + 1]]
                 gid = hashlib.blake2b(p.tobytes() + len(w).to_bytes(8, "little"), digest_size=16).digest()
-                out.append((gid, len(w), *_bitmap(w), *prefix_keys(p, count[order[: probe + 1]] <= frequent, probe, index)))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["key", "gid", "n", "lo", "hi", "indexed", "probed"])
+                rare = count[order[: probe + 1]] <= frequent
+                keys, last = prefix_keys(p, rare, probe)
+                alone = int(rare[:probe].sum())
+                level = np.where(np.arange(len(keys)) < alone, 1, 2).astype(np.int32)
+                out.append((gid, len(w), *_bitmap(w), keys, last, level, w[order]))
+            cols = list(zip(*out)) or [()] * 8
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["key", "gid", "n", "lo", "hi", "words", "lasts", "levels", "ordered"])
 
     return run
 
@@ -158,7 +162,36 @@ def _enough(inter: Column, n1: Column, n2: Column, percent: int) -> Column:
     return inter * (100 + percent) >= (n1 + n2) * percent
 
 
-def similar_classes(sets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
+def _prefix(n: Column, part: int, whole: int) -> Column:
+    """Words of a prefix: those beyond part / whole of n, and one more. See prefix_lengths()."""
+    return n - F.ceil(n * part / whole - 1e-9) + 1
+
+
+def _of_bounded_frequency(keys: DataFrame, members: DataFrame, groups: DataFrame, percent: int, hot: int) -> DataFrame:
+    """keys (word, last, level, gid, ...) where every one that more than `hot` groups have is replaced by those with one word more.
+
+    The m-th word in common lies in the prefix longer by m - 1, so a key of m words grows by each later word of
+    the prefix longer by m. The words beyond the common prefix are those of a group's members. Keys of as many
+    words as the smallest similar sets must share stay as they are.
+    """
+    level, smallest = 2, groups.agg(F.min("n").alias("n")).head()["n"] or 0
+    while level < min(MOST_WORDS, -(-percent * smallest // 100)):
+        often = cut(keys.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("word"), "hot")
+        if often.isEmpty():
+            break
+        few = F.broadcast(often) if often.count() <= 200_000 else often
+        grow = keys.join(few, "word", "left_semi").where(F.col("level") == level).select("word", "last", "gid")
+        probe = _prefix(F.col("n"), percent, 100)
+        at = F.sequence(F.col("last") + 1, F.least(F.col("n"), probe + level) - 1)
+        met = grow.join(members, "gid").where(F.col("last") + 1 <= F.least(F.col("n"), probe + level) - 1)
+        longer = met.select("gid", "word", F.explode(at).alias("last"), "ordered").select("gid", F.xxhash64("word", F.get("ordered", F.col("last"))).alias("word"), F.col("last").cast("int").alias("last")).distinct()
+        stay = keys.join(few, "word", "left_anti").unionByName(keys.join(few, "word", "left_semi").where(F.col("level") < level))
+        level += 1
+        keys = cut(stay.unionByName(longer.withColumn("level", F.lit(level)).join(groups, "gid").select(*keys.columns)), "keys")
+    return keys
+
+
+def similar_classes(sets: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """(key_a, key_b, common, n_a, n_b): all pairs of different sets that share percent of the words in either.
 
     Exact: any total order of words gives a complete prefix filter, so the counts that order them may
@@ -170,12 +203,17 @@ def similar_classes(sets: DataFrame, percent: int, frequent: int = FREQUENT) ->
     hist = one.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count().toPandas()  # BUCKETS rows at most
     table = np.zeros(BUCKETS, np.int64)
     table[hist["bucket"].to_numpy()] = hist["count"].to_numpy()
-    members = cut(one.mapInArrow(_group_rows(spark.sparkContext.broadcast(table), percent, frequent), "key binary, gid binary, n int, lo long, hi long, indexed array<long>, probed array<long>"), "groups")
+    members = cut(one.mapInArrow(_group_rows(spark.sparkContext.broadcast(table), percent, frequent), "key binary, gid binary, n int, lo long, hi long, words array<long>, lasts array<int>, levels array<int>, ordered array<long>"), "groups")
     bits = [F.bit_and("lo").alias("lo_all"), F.bit_and("hi").alias("hi_all"), F.bit_or("lo").alias("lo_any"), F.bit_or("hi").alias("hi_any")]
-    groups = cut(members.groupBy("gid").agg(F.first("n").alias("n"), F.first("indexed").alias("indexed"), F.first("probed").alias("probed"), *bits), "joined")
+    zipped = F.arrays_zip("words", "lasts", "levels")
+    groups = cut(members.groupBy("gid").agg(F.first("n").alias("n"), F.first(zipped).alias("keys"), *bits), "joined")
     rest = ["gid", "n", "lo_all", "hi_all", "lo_any", "hi_any"]
-    a = groups.select(F.explode("indexed").alias("word"), *[F.col(c).alias(f"a_{c}") for c in rest])
-    b = groups.select(F.explode(F.concat("indexed", "probed")).alias("word"), *[F.col(c).alias(f"b_{c}") for c in rest])
+    keys = groups.select(*rest, F.explode("keys").alias("k")).select(F.col("k.words").alias("word"), F.col("k.lasts").alias("last"), F.col("k.levels").alias("level"), *rest)
+    keys = _of_bounded_frequency(keys, members.select("gid", "n", "ordered"), groups.select(*rest), percent, hot)
+    # a key whose last place lies in the shorter prefix serves partners that are no smaller
+    shorter = F.col("last") < _prefix(F.col("n"), 2 * percent, 100 + percent) + F.col("level") - 1
+    a = keys.where(shorter).select("word", *[F.col(c).alias(f"a_{c}") for c in rest])
+    b = keys.select("word", *[F.col(c).alias(f"b_{c}") for c in rest])
     na, nb = F.col("a_n"), F.col("b_n")
     least = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)  # words that must be shared
     alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_{h}_all").bitwiseAND(F.bitwise_not(f"{y}_{h}_any"))) for h in ("lo", "hi")), F.lit(0))
@@ -194,7 +232,7 @@ def similar_classes(sets: DataFrame, percent: int, frequent: int = FREQUENT) ->
     return done.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"), percent))
 
 
-def near_copies(records: DataFrame, key: str, text: str, percent: int, least: int, copies: int = COPIES, frequent: int = FREQUENT) -> DataFrame:
+def near_copies(records: DataFrame, key: str, text: str, percent: int, least: int, copies: int = COPIES, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: ids of which a text each has at least `least` distinct words and shares percent of the words in either.
 
     Words are runs of letters and digits, lower-cased, of the visible text. An id may have several texts,
@@ -210,7 +248,7 @@ def near_copies(records: DataFrame, key: str, text: str, percent: int, least: in
     sizes = ids.groupBy("key", "text").agg(F.count("*").alias("c"), F.min("id").alias("head"))
     named = cut(ids.join(sizes, ["key", "text"]).select("key", "id", "head", "c"), "members")
     stand = cut(named.where((F.col("c") <= copies) | (F.col("id") == F.col("head"))).select("key", "id").distinct(), "stand")
-    links = similar_classes(sets, percent, frequent).select("key_a", "key_b")
+    links = similar_classes(sets, percent, frequent, hot).select("key_a", "key_b")
     a = stand.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
     b = stand.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     across = links.join(a, "key_a").join(b, "key_b").select("x", "y")
